@@ -159,17 +159,18 @@ def text_map(df: DataFrame, keep: list[str], text: str, fields: str, fn: Callabl
     schema = StructType([StructField(c, df.schema[c].dataType) for c in keep] + list(new.fields))
     arrow = to_arrow_schema(schema)
     names = [f.name for f in new.fields]
+    at = keep.index(text) if text in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept = [b.column(i) for i in range(len(keep))]
-            for lo, hi, texts in blocks(b.column(len(keep))):
+            for lo, hi, texts in blocks(b.column(at)):
                 out = fn(texts)
                 cols = [c.slice(lo, hi - lo) for c in kept]
                 cols += [out[k] if isinstance(out[k], pa.Array) else pa.array(out[k]) for k in names]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-    return df.select(*keep, text).mapInArrow(run, schema)
+    return df.select(*keep, *([text] if at == len(keep) else [])).mapInArrow(run, schema)
 
 
 def ragged(values: np.ndarray, counts: np.ndarray) -> pa.Array:
