@@ -2,7 +2,7 @@
 
 Grades: 0 for a row labelled clean; 1, 2 or 3 for a toxic row, by thirds of how often the terms that mark toxic
 rows occur in it. P(grade <= k) = sigmoid(theta_k - w.x) with one weight vector for all ordered thresholds; x holds
-log(1 + count) of the terms that the labels set apart: words, and beginnings of words. The expected severity is the sum of P(grade > k). A row is
+1 + log(count) of the terms that the labels set apart: words, and beginnings of words. The expected severity is the sum of P(grade > k). A row is
 toxic from the severity that separates the training labels best (F1).
 
 Defined cases: a null or empty text has no features and is clean by the thresholds alone; equal texts get equal
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from cairn.llm.common import fold, labelled, read_table
 from cairn.llm.textnum import _BASE, ALNUM, Texts, lowered, mix, ragged, text_map
 
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 8_000
 TERMS = 400
 PREFIXES = (4, 5, 6, 7, 8)
 LEAST_ROWS = 5
@@ -66,14 +66,14 @@ class Ordinal:
             i = np.minimum(np.searchsorted(self.term, h), len(self.term) - 1)
             hit = self.term[i] == h
             pair, n = np.unique(doc[hit] * len(self.term) + i[hit], return_counts=True)
-            z = np.bincount(pair // len(self.term), np.log1p(n) * self.weight[pair % len(self.term)], minlength=t.n)
+            z = np.bincount(pair // len(self.term), (1 + np.log(n)) * self.weight[pair % len(self.term)], minlength=t.n)
         return self.expected(z)
 
     def expected(self, z: np.ndarray) -> np.ndarray:
         return (1 / (1 + np.exp(-np.clip(z[:, None] - self.theta, -30, 30)))).sum(axis=1)
 
 
-def fit_cumulative(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 2e-4, steps: int = 500, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit_cumulative(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 1e-5, steps: int = 800, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by Adam on the likelihood; gaps between thresholds are exponentials."""
     n, v = x.shape
     k = grades - 1
@@ -118,7 +118,7 @@ def fit_ordinal(doc: np.ndarray, word: np.ndarray, count: np.ndarray, toxic: np.
     place[chosen] = np.arange(len(chosen))
     hit = place[inv] >= 0
     x = np.zeros((n, len(chosen)))
-    x[doc[hit], place[inv[hit]]] = np.log1p(count[hit])
+    x[doc[hit], place[inv[hit]]] = 1 + np.log(count[hit])
     marks = np.bincount(doc[hit], count[hit], minlength=n)
     third = np.quantile(marks[toxic == 1], [1 / 3, 2 / 3])
     y = np.where(toxic == 1, 1 + np.searchsorted(third, marks, side="left"), 0)
