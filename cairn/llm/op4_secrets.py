@@ -21,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cairn.llm.common import Scratch, read_table
-from cairn.llm.textnum import LOWER, Texts, ragged, table, text_map
+from cairn.llm.textnum import LOWER, Texts, table, text_map
 
 #: kind, pattern, least length of the group, group, strings of which one must occur (in lower case) for a match.
 #: The first three are the base kinds.
@@ -153,8 +154,6 @@ def _redact(t: Texts, spans: pa.Array) -> pa.Array:
 def redact(rows: DataFrame, text_col: str, spans_col: str) -> DataFrame:
     """The rows with the text's spans replaced by `[secret]`; rows without spans pass as they are."""
     schema = rows.schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     names, arrow = rows.columns, to_arrow_schema(schema)
     ti, si = names.index(text_col), names.index(spans_col)
 
