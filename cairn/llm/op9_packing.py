@@ -29,12 +29,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from cairn.llm.common import Scratch, read_table
 from cairn.llm.textnum import WORD, Texts, mix, stream, text_map
+from cairn.llm.wordcache import WordCache, gather
 
 LENGTH = 4096
 END_ID = 2
 DIMS, BITS = 3, 10
-SLOTS = 1 << 21
-POOL = 1 << 24
 _cache: dict[str, WordTokens] = {}
 
 
@@ -68,11 +67,7 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
 
 class WordTokens:
     """Token ids by word. The tokenizer parts a text at white space and looks no further, so the ids of a text are
-    those of its words in a row.
-
-    Ids of words are kept in a table of fixed size, a slot for each hash remainder (a later word takes the slot), over
-    a pool of ids that is emptied when full; memory is bounded and a word that was lost is tokenized again.
-    """
+    those of its words in a row, and words that were met before come from a cache of bounded size."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -80,17 +75,12 @@ class WordTokens:
 
         self.model = Tokenizer.from_file(path)
         self.size = self.model.get_vocab_size()
+        if self.size > 1 << 16:
+            raise ValueError("ids of this tokenizer need more than 16 bits")
         # a special token parts the words that are tokenized in one call; words that may hold one go alone
         self.mark = next((t.content for t in self.model.get_added_tokens_decoder().values() if t.special), None)
         self.mark_id = self.model.token_to_id(self.mark) if self.mark else -1
-        self.pool = np.zeros(POOL, dtype=np.uint16)
-        self.clear()
-
-    def clear(self) -> None:
-        self.key = np.zeros(SLOTS, dtype=np.uint64)
-        self.at = np.zeros(SLOTS, dtype=np.int32)
-        self.n = np.zeros(SLOTS, dtype=np.int32)
-        self.used = 0
+        self.cache = WordCache()
 
     def tokenize(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words in a row, and their number by word."""
@@ -118,32 +108,15 @@ class WordTokens:
         """All ids of the block's texts, each with END_ID behind it, and their number by text."""
         s, e, doc = t.spans(WORD)
         distinct, first, inverse = np.unique(t.hashes(s, e), return_index=True, return_inverse=True)
-        slot = (distinct % np.uint64(SLOTS)).astype(np.int64)
-        new = np.flatnonzero((self.key[slot] != distinct) | (self.n[slot] == 0))
-        at, n = self.at[slot].astype(np.int64), self.n[slot].astype(np.int64)
-        pool = self.pool
-        if len(new):
-            raw = t.buf.tobytes()
-            ids, count = self.tokenize([raw[s[k] : e[k]].decode("utf-8", "replace") for k in first[new]])
-            begin = np.cumsum(count) - count
-            n[new] = count
-            if self.used + len(ids) <= POOL:
-                self.pool[self.used : self.used + len(ids)] = ids
-                at[new] = self.used + begin
-                self.used += len(ids)
-                self.key[slot[new]], self.at[slot[new]], self.n[slot[new]] = distinct[new], at[new], count
-            else:  # this block's words from a copy, and an empty table for the next
-                pool = np.concatenate([self.pool, ids.astype(np.uint16)])
-                at[new] = POOL + begin
-                self.clear()
+        raw = t.buf.tobytes()
+        pool, at, n = self.cache.get(distinct, lambda new: self.tokenize([raw[s[k] : e[k]].decode("utf-8", "replace") for k in first[new]]))
         at, n = at[inverse], n[inverse]
         by_doc = np.bincount(doc, n, minlength=t.n).astype(np.int64)
         ends = np.cumsum(by_doc + 1)
         out = np.empty(int(ends[-1]) if t.n else 0, dtype=np.uint16)
         hole = np.ones(len(out), dtype=bool)
         hole[ends - 1] = False
-        begin = np.cumsum(n) - n
-        out[hole] = pool[np.repeat(at - begin, n) + np.arange(int(n.sum()))]
+        out[hole] = gather(pool, at, n)
         out[ends - 1] = END_ID
         return out, by_doc + 1
 
