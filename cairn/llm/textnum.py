@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 BLOCK = 2 << 20
+BLOCK_ROWS = 1 << 15
 _U = np.uint64
 _BASE, _MIX1, _MIX2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 
@@ -145,7 +146,7 @@ def blocks(col: pa.Array) -> Iterator[tuple[int, int, Texts]]:
     sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64) if n else []
     at = size = 0
     for i in range(n):
-        if i > at and size + sizes[i] > BLOCK:
+        if i > at and (size + sizes[i] > BLOCK or i - at >= BLOCK_ROWS):
             yield at, i, Texts(raw_texts(col.slice(at, i - at)))
             at, size = i, 0
         size += sizes[i] + 1
