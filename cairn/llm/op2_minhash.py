@@ -5,11 +5,11 @@
    (1 + ln tf) * ln(1 + N / df), BANDS bands of ROWS samples. A shingle's random numbers come from a fixed table by
    hash, and ties go to the smaller shingle, so equal weights give equal samples everywhere.
 3. Exact copies (two 64-bit hashes of the text) are one node from here on: the copy with the smallest id.
-4. Nodes that share a band's key are compared with the bucket's smallest ids (pivots), not with each other. The
-   similarity is the weighted Jaccard of (1 + ln tf) * min(ln(1 + N / df), IDF_CAP); 0.8 or more makes a link.
-5. What a pivot leaves open is settled exactly. One minus this similarity is a metric, so a node that isn't linked to
-   the pivot can only be linked to those of its links whose distance lies within 0.2 of the node's own; these are compared, and nodes
-   that no pivot took get new pivots, until no bucket joins nodes of different components that have not been told apart.
+4. Nodes that share a band's key and a level of total weight are a bucket; each is compared with the bucket's smallest
+   id. The similarity is the weighted Jaccard of (1 + ln tf) * min(ln(1 + N / df), IDF_CAP); 0.8 or more makes a link.
+5. What that leaves open is settled exactly. In a bucket whose nodes are of several components, those outside its
+   largest component are compared with all its nodes of other components, in blocks: a task gets two packed blocks,
+   looks at a pair in its first common bucket alone, discards it by a bound from one matrix product, and returns links only.
 6. Components of the links are the classes, named by their smallest id.
 
 Defined cases: a null text counts as empty; texts without words are alike only if they are equal; texts of one to four
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.common import Scratch, read_table
@@ -33,10 +33,11 @@ from cairn.llm.textnum import _BASE, WORD, Texts, blocks, mix, ragged, raw_texts
 
 WIDTH = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 14, 3
+BANDS, ROWS = 16, 4
 DF_BUCKETS = 1 << 18
 IDF_CAP = float(np.log(4.0))
-PIVOTS = 8
+BLOCK_NODES, BLOCK_BYTES = 128, 4 << 20
+SLAB = 4_096
 SEED = 2
 TABLE = 1 << 16
 _U = np.uint64
@@ -111,8 +112,13 @@ def _draws() -> list[tuple]:
     return _random
 
 
-def signatures(t: Texts, ln_idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys of the texts in a row, and their number by text (none for a text without words)."""
+def signatures(t: Texts, ln_idf: np.ndarray, capped: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys of the texts in a row, and their number by text (none for a text without words).
+
+    Similar texts have similar total weights: their ratio is no less than the similarity. So each band's key is given
+    twice, with the text's own level of weight and with the next; texts of linked weights share a level, and others
+    that happen to share samples (of a common passage) mostly don't meet.
+    """
     doc, sh, count = shingles(t)
     n_keys = np.zeros(t.n, dtype=np.int64)
     if not len(doc):
@@ -134,8 +140,11 @@ def signatures(t: Texts, ln_idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sample = mix(sh[at] * _BASE + (step[at].astype(np.int64) + (1 << 20)).astype(np.uint64) + (_U(k) << _U(40)))
         band = k // ROWS
         keys[:, band] = sample if k % ROWS == 0 else mix(keys[:, band] * _BASE + sample)
-    n_keys[doc[head]] = BANDS
-    return keys.ravel().astype(np.int64), n_keys
+    total = np.add.reduceat(np.exp(_TF[np.minimum(count, len(_TF) - 1)].astype(np.float64)) * capped[_bucket(sh)], head)
+    level = np.floor(np.log(total) / (-np.log(SIMILARITY) * (1 + 1e-6))).astype(np.int64) + 1_000
+    both = [mix(keys + (level + i).astype(np.uint64)[:, None] * _BASE) for i in (0, 1)]
+    n_keys[doc[head]] = 2 * BANDS
+    return np.concatenate(both, axis=1).ravel().astype(np.int64), n_keys
 
 
 def similarities(a: Texts, b: Texts, capped: np.ndarray) -> np.ndarray:
@@ -162,6 +171,7 @@ def verify(pairs: DataFrame, texts: DataFrame, capped: np.ndarray) -> DataFrame:
                     sim = similarities(part, right, capped)
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(lo + i, j - i), b.column(1).slice(lo + i, j - i), pa.array(sim)], names=["id", "pivot", "sim"])
 
+    texts = texts.select("id", "text")
     left = pairs.join(texts, "id").withColumnRenamed("text", "a")
     right = left.join(texts.select(F.col("id").alias("pivot"), F.col("text").alias("b")), "pivot")
     return right.select("id", "pivot", "a", "b").mapInArrow(run, "id long, pivot long, sim double")
@@ -178,7 +188,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     ln_idf, capped = np.log(weights), np.minimum(weights, np.float32(IDF_CAP))
 
     def sign(t: Texts) -> dict:
-        keys, count = signatures(t, ln_idf)
+        keys, count = signatures(t, ln_idf, capped)
         return {"bands": ragged(keys, count)}
 
     hashed = rows.select("id", "text", F.xxhash64("text", F.lit(1)).alias("h1"), F.xxhash64("text", F.lit(2)).alias("h2"))
@@ -188,47 +198,102 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     mapped = signed.join(first, ["h1", "h2"]).select("id", "node", F.when(F.col("id") == F.col("node"), F.col("bands")).alias("bands"))
     mapped = scratch.write(mapped, "mapped")
     scratch.drop("signed", "first")
-    banded = mapped.filter("bands IS NOT NULL").select("id", F.posexplode("bands").alias("band", "hash")).select("id", F.xxhash64("band", "hash").alias("key"))
+    banded = mapped.filter("bands IS NOT NULL").select("id", F.explode("bands").alias("key"))
     pivots = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot < last").select("key", "pivot")
     pivots = scratch.write(pivots, "pivots")
     members = scratch.write(banded.join(pivots, "key").filter("id <> pivot").distinct(), "members")
     involved = members.select("id").unionByName(members.select(F.col("pivot").alias("id"))).distinct()
-    involved = scratch.write(involved, "involved")
-    texts = scratch.write(rows.join(involved.hint("shuffle_hash"), "id", "left_semi"), "texts")
-    pairs = scratch.write(members.select("id", "pivot").distinct(), "pairs")
-    known, heads, step = _judged(pairs, texts, capped, scratch, 0), None, 0
-    while True:
-        links = known.filter(F.col("sim") >= similarity).select(F.col("id").alias("u"), F.col("pivot").alias("v"))
-        label = scratch.write(components(links, scratch, f"graph-{step}"), f"label-{step}")
-        seen = _with_component(members.join(known, ["id", "pivot"]), label, "id", "c")
-        seen = scratch.write(_with_component(seen, label, "pivot", "pc"), f"seen-{step}")
-        # a pivot's links against nodes of other components that lie near enough to be linked to one of them
-        near = seen.filter((F.col("sim") < similarity) & (F.col("sim") >= 2 * similarity - 1) & (F.col("c") != F.col("pc")))
-        taken = seen.filter(F.col("sim") >= similarity).select("key", "pivot", F.col("id").alias("other"), F.col("sim").alias("other_sim"), F.col("c").alias("other_c"))
-        edge = near.join(taken, ["key", "pivot"]).filter((F.col("c") != F.col("other_c")) & (F.col("other_sim") <= F.col("sim") + (1 - similarity)))
-        edge = edge.select(F.greatest("id", "other").alias("id"), F.least("id", "other").alias("pivot"))
-        # nodes that no pivot took get new pivots, in buckets where they are of several components
-        left = seen.groupBy("key", "id", "c").agg(F.max("sim").alias("best")).filter(F.col("best") < similarity).select("key", "id", "c")
-        if heads is not None:
-            left = left.join(heads.withColumnRenamed("pivot", "id"), ["key", "id"], "left_anti")
-        left = scratch.write(left, f"open-{step}")
-        mixed = scratch.write(left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key"), f"mixed-{step}")
-        left = scratch.write(left.join(mixed, "key", "left_semi").select("key", "id"), f"left-{step}")
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-        heads = scratch.write(left.withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).select("key", F.col("id").alias("pivot")), f"heads-{step}")
-        members = scratch.write(left.join(heads, "key").filter("pivot < id").select("key", "id", "pivot"), f"members-{step}")
-        fresh = members.select("id", "pivot").unionByName(edge).distinct().join(known.select("id", "pivot"), ["id", "pivot"], "left_anti")
-        fresh = scratch.write(fresh, f"fresh-{step}")
-        if fresh.isEmpty() and members.isEmpty():
-            break
-        step += 1
-        known = known.unionByName(_judged(fresh, texts, capped, scratch, step))
+    keys = mapped.filter("bands IS NOT NULL").select("id", "bands").join(involved, "id", "left_semi")
+    texts = scratch.write(rows.join(keys.hint("shuffle_hash"), "id"), "texts")
+    known = _judged(members.select("id", "pivot").distinct(), texts, capped, scratch)
+    # components of the first links tell what is settled already; later links only add to that
+    label = scratch.write(components(_links(known, similarity), scratch, "graph-first"), "label-first")
+    found = scratch.write(_left_open(members, pivots, label, texts, capped, similarity), "found")
+    if not found.isEmpty():
+        links = _links(known, similarity).unionByName(found)
+        label = scratch.write(components(links, scratch, "graph"), "label")
     return mapped.join(label.withColumnRenamed("id", "node"), "node", "left").select(F.col("id").alias(id_col), F.coalesce("component", "node").alias("class_id"))
 
 
-def _judged(pairs: DataFrame, texts: DataFrame, capped: np.ndarray, scratch: Scratch, step: int) -> DataFrame:
+def _judged(pairs: DataFrame, texts: DataFrame, capped: np.ndarray, scratch: Scratch) -> DataFrame:
     """Pairs with their similarity; where rows repeat an id, the largest of its texts'."""
-    return scratch.write(verify(pairs, texts, capped).groupBy("id", "pivot").agg(F.max("sim").alias("sim")), f"judged-{step}")
+    return scratch.write(verify(pairs, texts, capped).groupBy("id", "pivot").agg(F.max("sim").alias("sim")), "judged")
+
+
+def _links(judged: DataFrame, similarity: float) -> DataFrame:
+    return judged.filter(F.col("sim") >= similarity).select(F.col("id").alias("u"), F.col("pivot").alias("v"))
+
+
+def _blocks(nodes: DataFrame, texts: DataFrame, side: str) -> DataFrame:
+    """The nodes (key, id, c) of each bucket as blocks of about BLOCK_NODES rows and BLOCK_BYTES bytes."""
+    full = nodes.join(texts, "id")
+    size = nodes.join(texts.select("id", F.octet_length("text").alias("bytes")), "id").groupBy("key").agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("bytes") / BLOCK_BYTES)).cast("long").alias("parts")
+    )
+    dealt = full.join(size, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    return dealt.groupBy("key", "part").agg(F.collect_list(F.struct("id", "c", "text", "bands")).alias(side)).drop("part")
+
+
+def _left_open(members: DataFrame, pivots: DataFrame, label: DataFrame, texts: DataFrame, capped: np.ndarray, similarity: float) -> DataFrame:
+    """Links (u, v) between nodes of one bucket that the first comparisons left in different components."""
+    nodes = members.select("key", "id").unionByName(pivots.select("key", F.col("pivot").alias("id")))
+    nodes = _with_component(nodes, label, "id", "c")
+    sizes = nodes.groupBy("key", "c").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("key").agg(F.count("*").alias("components"), F.max_by("c", F.struct("n", "c")).alias("main")).filter("components > 1").select("key", "main")
+    nodes = nodes.join(main, "key")
+    outside = _blocks(nodes.filter("c <> main").select("key", "id", "c"), texts, "a")
+    every = _blocks(nodes.select("key", "id", "c"), texts, "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                one = batch.slice(r, 1)
+                u, v = linked(one.column(0)[0].as_py(), one.column(1)[0].as_py(), one.column(2)[0].as_py(), capped, similarity)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return outside.join(every, "key").select("key", "a", "b").mapInArrow(run, "u long, v long").distinct()
+
+
+def linked(key: int, a: list[dict], b: list[dict], capped: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of two blocks of one bucket, of different components and with this key as their least common one."""
+    ids, comps = (np.array([x[k] for x in a + b], dtype=np.int64) for k in ("id", "c"))
+    bands = np.array([x["bands"] for x in a + b], dtype=np.int64)
+    n, top = len(a), np.iinfo(np.int64).max
+    least = np.full((n, len(b)), top)
+    for i in (0, 1):
+        for j in (0, 1):  # a text's own level may be the other's next one
+            for k in range(BANDS):
+                left, right = bands[:n, i * BANDS + k][:, None], bands[n:, j * BANDS + k]
+                np.minimum(least, np.where(left == right, left, top), out=least)
+    want = (least == key) & (comps[:n, None] != comps[n:])
+    if not want.any():
+        return ids[:0], ids[:0]
+    t = Texts([x["text"].encode() for x in a + b])
+    doc, sh, count = shingles(t)
+    w = np.exp(_TF[np.minimum(count, len(_TF) - 1)].astype(np.float64)) * capped[_bucket(sh)]
+    total = np.bincount(doc, w, minlength=t.n)
+    uniq, inverse, times = np.unique(sh, return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1
+    shared = times[inverse] > 1
+    doc, col, root = doc[shared], place[inverse[shared]], np.sqrt(w[shared])
+    bound = np.zeros((n, len(b)))
+    order = np.argsort(col, kind="stable")
+    doc, col, root = doc[order], col[order], root[order]
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, SLAB):  # sqrt(x * y) is no less than the smaller of x and y
+        i, j = np.searchsorted(col, (lo, lo + SLAB))
+        dense = np.zeros((t.n, SLAB), dtype=np.float32)
+        dense[doc[i:j], col[i:j] - lo] = root[i:j]
+        bound += dense[:n] @ dense[n:].T
+    bound /= np.maximum(total[:n, None] + total[n:] - bound, 1e-12)
+    x, y = np.nonzero(want & (bound >= similarity - 1e-3))
+    keep = []
+    for lo in range(0, len(x), 256):
+        i, j = x[lo : lo + 256], y[lo : lo + 256]
+        left, right = (Texts([side[k]["text"].encode() for k in rows.tolist()]) for side, rows in ((a, i), (b, j)))
+        keep.append(similarities(left, right, capped) >= similarity)
+    ok = np.concatenate(keep) if keep else np.zeros(0, dtype=bool)
+    return ids[x[ok]], ids[n + y[ok]]
 
 
 def _with_component(rows: DataFrame, label: DataFrame, col: str, name: str) -> DataFrame:
