@@ -121,6 +121,21 @@ def form_encode(fields: dict[str, Column]) -> Column:
     return F.concat_ws("&", *[F.concat(F.url_encode(F.lit(k)), F.lit("="), F.url_encode(v.cast("string"))) for k, v in fields.items()])
 
 
+def cid_sha1(content: Column, codec_id: int = codec.RAW) -> Column:
+    """CIDv1 with SHA-1, as some old archives have."""
+    return F.concat(F.lit((b"\x01" + codec.varint(codec_id) + b"\x11\x14").hex()), F.sha1(content.cast("binary")))
+
+
+def random_id(length: int = 7) -> Column:
+    """Letters and digits for a new drive; never the same twice, so not for queries that are compared."""
+    return F.substr(F.translate(F.uuid(), "-", ""), F.lit(1), F.lit(length))
+
+
+def node_json(created: Column, modified: Column, mime: Column, size: Column) -> Column:
+    """Node metadata for a client."""
+    return F.to_json(F.struct(created.alias("created"), modified.alias("modified"), mime.alias("mime_type"), size.cast("long").alias("size")))
+
+
 @F.pandas_udf("string")
 def cid_text(cids: pd.Series) -> pd.Series:
     """base32 (version 1) or base58 (version 0) of binary CIDs."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.errors import CairnError, NodeNotFound, Unauthorized
 from cairn.functions.columns import base64_url, unbase64_url
 
 TOKEN = "payload string, forest_cid string, file_name string, mime_type string, size bigint"
@@ -51,3 +52,33 @@ def key_list(shares: DataFrame, by: str, key: str) -> DataFrame:
 def unlock(shares: DataFrame, fingerprint: str) -> DataFrame:
     """The refs that a key may open; none is an authorization error for the caller to raise."""
     return shares.filter(F.col("fingerprint") == fingerprint).select("drive", "ref_kind", "enc_ref")
+
+
+def open_share(shares: DataFrame, fingerprint: str) -> DataFrame:
+    """unlock(), where a key without any ref is an error."""
+    refs = unlock(shares, fingerprint)
+    if refs.isEmpty():
+        raise Unauthorized(fingerprint)
+    return refs
+
+
+def share_file(nodes: DataFrame, path: str, forest_cid: str) -> str:
+    """The token of one file; directories can't be shared."""
+    row = nodes.filter(F.col("path") == path.strip("/")).limit(1)
+    name = F.element_at(F.split("path", "/"), -1)
+    got = row.select("kind", token(F.col("cid"), F.lit(forest_cid), name, F.col("mime_type"), F.col("size")).alias("token")).head()
+    if got is None:
+        raise NodeNotFound(path)
+    if got["kind"] != "file":
+        raise CairnError(f"{path} is no file")
+    return got["token"]
+
+
+def to_map(shares: DataFrame) -> DataFrame:
+    """Shares as a map for each drive and kind of ref: fingerprint -> (der, enc_ref). A drive's recipients are few."""
+    entry = F.struct("fingerprint", F.struct("der", "enc_ref"))
+    return shares.groupBy("drive", "ref_kind").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("recipients"))
+
+
+def from_map(maps: DataFrame) -> DataFrame:
+    return maps.select("drive", "ref_kind", F.explode("recipients").alias("fingerprint", "r")).select("drive", "ref_kind", "fingerprint", "r.der", "r.enc_ref")

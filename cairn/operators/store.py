@@ -90,3 +90,8 @@ def locate(requested: DataFrame, locations: DataFrame, unknown: str = "NA") -> D
 def location_map(locations: DataFrame) -> DataFrame:
     """Host -> number and digest-free list size; the lists themselves stay rows."""
     return locations.groupBy("host").agg(F.count("*").alias("n_cids"), F.min("cid").alias("first_cid"), F.max("cid").alias("last_cid"))
+
+
+def put_both(blocks: DataFrame, primary: DataFrame, secondary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both stores with the blocks that each lacks; the primary one decides what a read returns."""
+    return tuple(s.unionByName(unseen(blocks, s).select(*s.columns)) for s in (primary, secondary))

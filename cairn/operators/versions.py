@@ -95,3 +95,23 @@ def restore_snapshot(versions: DataFrame, snapshots: DataFrame, snapshot_id: str
     out = versions.join(chosen, "drive", "left")
     state = F.when(F.col("__id").isNull(), F.col("state")).when(F.col("id") == F.col("__id"), "current").when(F.col("state") == "current", "outdated").otherwise(F.col("state"))
     return out.withColumn("state", state).select(*versions.columns)
+
+
+def create_snapshot(snapshots: DataFrame, versions_: DataFrame, version_id: str, snapshot_id: str, cids: DataFrame) -> DataFrame:
+    """The snapshots with one of a version: its size is that of the live contents (cid, len)."""
+    size = cids.dropDuplicates(["cid"]).agg(F.coalesce(F.sum("len"), F.lit(0)).cast("long").alias("size"))
+    new = versions_.filter(F.col("id") == version_id).crossJoin(F.broadcast(size)).select(  # one row each
+        F.lit(snapshot_id).alias("id"), "drive", F.col("id").alias("metadata_id"), "size", F.col("created_at")
+    )
+    return snapshots.unionByName(new.select(*snapshots.columns))
+
+
+def resolve_id(drives: DataFrame) -> DataFrame:
+    """Drives with the id that requests use: the remote one, else the one that the local drive remembers; none is an error."""
+    return drives.withColumn("use_id", F.coalesce("remote_id", "local_remote_id", F.raise_error(F.lit("a drive that was never published has no id")).cast("string")))
+
+
+def listing(drives: DataFrame, columns: list[str]) -> DataFrame:
+    """One text of all drives, a line each, in order; for people, so for as many as they read."""
+    line = F.concat_ws("\t", *columns)
+    return drives.select(line.alias("line")).agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("text"))

@@ -16,8 +16,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from io import BytesIO
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -186,3 +188,31 @@ class CarDataSource(DataSource):
 
     def writer(self, schema: StructType, overwrite: bool) -> CarWriter:
         return CarWriter(self.options["path"], schema, overwrite, self.options)
+
+
+def pack(blocks: DataFrame, by: str, roots: list[bytes] | None = None) -> DataFrame:
+    """(by, archive): the blocks (by, content) of each group as one archive in memory. For groups that fit one value;
+    larger ones are written with the data source, which starts a new archive every max_bytes."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        f = BytesIO()
+        w = codec.ArchiveWriter(f, roots)
+        for x in pdf["content"]:
+            w.put(bytes(x))
+        w.close()
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "archive": [f.getvalue()]})
+
+    return blocks.select(by, "content").groupBy(by).applyInPandas(one, f"{by} {blocks.schema[by].dataType.simpleString()}, archive binary")
+
+
+def unpack(archives_: DataFrame, by: str) -> DataFrame:
+    """(by, cid, offset, length, content) of the blocks of archives in a column (by, archive)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, raw in zip(pdf[by], pdf["archive"], strict=True):
+                found = list(codec.Archive(BytesIO(bytes(raw))).scan())
+                yield pd.DataFrame(found, columns=["cid", "offset", "length", "content"]).assign(**{by: key})[[by, "cid", "offset", "length", "content"]]
+
+    schema = f"{by} {archives_.schema[by].dataType.simpleString()}, cid binary, offset long, length long, content binary"
+    return archives_.select(by, "archive").mapInPandas(run, schema)
