@@ -1,57 +1,15 @@
-"""Shared helpers of the training-data operators: inputs, shared scratch tables, hash folds."""
+"""Shared helpers of the training-data operators: hash folds and bounded labelled samples."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.session import Scratch, read_table, shared_dir
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the input folder; the path may be on any store Spark reads."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it in spark.checkpoint.dir.
-
-    Only where the session names none (local tests) a temporary folder of this machine stands in.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = os.path.join(tempfile.gettempdir(), f"cairn-{os.getuid()}")
-    return named.rstrip("/")
-
-
-class Scratch:
-    """Intermediate tables in the shared folder; they cut lineage and survive lost executors."""
-
-    def __init__(self, spark: SparkSession, what: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/cairn/{what}-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df once and return the table that was written."""
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that nothing will read again; without names, all of them."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for p in [self.path(n) for n in names] or [self.root]:
-            path = jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(conf).delete(path, True)
+__all__ = ["Scratch", "fold", "hash_sample", "labelled", "read_table", "shared_dir"]
 
 
 def fold(col: str, mod: int) -> Column:

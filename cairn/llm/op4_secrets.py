@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,37 +139,32 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *DEFAULTS).na.fill(DEFAULTS)
 
 
-def _redact(t: Texts, spans: pa.Array) -> pa.Array:
-    out, raw = [], t.buf.tobytes()
-    for i, listed in enumerate(spans.to_pylist()):
-        text = raw[t.start[i] : t.end[i]].decode("utf-8", "replace")
-        parts, at = [], 0
-        for s, e in sorted(tuple(map(int, x.split(":")[1:])) for x in listed.split(",")):
-            if e > at:
-                parts += [text[at:s], "[secret]"] if s >= at else []
-                at = e
-        out.append("".join([*parts, text[at:]]))
-    return pa.array(out, pa.string())
+def redacted(text: str, listed: str) -> str:
+    """The text with its spans (kind:start:end, comma-joined) replaced by `[secret]`; what overlaps is replaced once."""
+    parts, at = [], 0
+    for s, e in sorted(tuple(map(int, x.split(":")[1:])) for x in listed.split(",")):
+        if s >= at:
+            parts += [text[at:s], "[secret]"]
+        at = max(at, e)
+    return "".join([*parts, text[at:]])
 
 
 def redact(rows: DataFrame, text_col: str, spans_col: str) -> DataFrame:
-    """The rows with the text's spans replaced by `[secret]`; rows without spans pass as they are."""
-    schema = rows.schema
-    names, arrow = rows.columns, to_arrow_schema(schema)
+    """The rows with the text's spans replaced; batches without spans pass as they are."""
+    schema, names = rows.schema, rows.columns
+    arrow = to_arrow_schema(schema)
     ti, si = names.index(text_col), names.index(spans_col)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 64):
-                part = b.slice(i, 64)
-                text = part.column(ti)
-                t = Texts(text.cast(pa.large_binary()).to_pylist())
-                cols = [c.cast(f.type) for c, f in zip(part.columns, arrow, strict=True)]
-                cols[ti] = _redact(t, part.column(si)).cast(arrow.field(ti).type)
-                yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+            cols = [c.cast(f.type) for c, f in zip(b.columns, arrow, strict=True)]
+            listed = b.column(si).to_pylist()
+            if any(listed):
+                texts = b.column(ti).to_pylist()
+                cols[ti] = pa.array([redacted(t, x) if x else t for t, x in zip(texts, listed, strict=True)], arrow.field(ti).type)
+            yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
-    hit = F.col(spans_col) != ""
-    return rows.filter(~hit).unionByName(rows.filter(hit).mapInArrow(run, schema))
+    return rows.mapInArrow(run, schema)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -180,8 +176,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     keyed = docs.withColumn("__at", F.xxhash64("doc_id")).withColumn("__blob", blob)
     hits = hits.select(F.xxhash64("doc_id").alias("__at"), F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__at", "__blob"])
     rows = keyed.join(hits.hint("shuffle_hash"), ["__at", "__blob"], "left").withColumn("__spans", F.coalesce("__spans", F.lit("")))
-    rows = found.write(rows.select(*docs.columns, "__spans"), "rows")
-    out = redact(rows, "text", "__spans")
+    out = redact(rows.select(*docs.columns, "__spans"), "text", "__spans")
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("__spans") != "", F.length("text").cast(kind)).otherwise(F.col("n_chars")))
