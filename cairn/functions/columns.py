@@ -8,6 +8,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from cairn.functions import codec
 
@@ -97,7 +98,7 @@ def human_bytes(n: Column) -> Column:
     """Bytes in the largest unit of 1024s, with two places."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for i, unit in enumerate(("KiB", "MiB", "GiB", "TiB", "PiB"), start=1):
-        out = F.when(n >= F.lit(1 << (10 * i)), F.concat(F.format_number(n / F.lit(float(1 << (10 * i))), "0.00"), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n >= F.lit(1 << (10 * i)), F.format_string(f"%.2f {unit}", n / F.lit(float(1 << (10 * i))))).otherwise(out)
     return out
 
 
@@ -136,18 +137,18 @@ def node_json(created: Column, modified: Column, mime: Column, size: Column) ->
     return F.to_json(F.struct(created.alias("created"), modified.alias("modified"), mime.alias("mime_type"), size.cast("long").alias("size")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def cid_text(cids: pd.Series) -> pd.Series:
     """base32 (version 1) or base58 (version 0) of binary CIDs."""
     return cids.map(lambda c: None if c is None else codec.cid_text(bytes(c)))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def cid_parse(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else codec.cid_bytes(t))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def lz4_compress(raw: pd.Series) -> pd.Series:
     """LZ4 frames."""
 
@@ -162,12 +163,12 @@ def lz4_compress(raw: pd.Series) -> pd.Series:
     return raw.map(one)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def lz4_decompress(raw: pd.Series) -> pd.Series:
     return raw.map(lambda x: None if x is None else pa.CompressedInputStream(pa.BufferReader(x), "lz4").read())
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def blake3(raw: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Archive digests. Plain Python: for archives' headers and small uploads, not for bulk content."""
     for s in raw:

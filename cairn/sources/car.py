@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from cairn.errors import CodecError
@@ -69,7 +69,7 @@ class CarReader(DataSourceReader):
         for f in filters:
             if isinstance(f, EqualTo) and f.attribute == ("cid",) and self.cid is None:
                 self.cid = bytes(f.value)
-            else:
+            elif not (isinstance(f, IsNotNull) and f.attribute == ("cid",)):  # no block lacks one
                 yield f
 
     def partitions(self) -> list[InputPartition]:
