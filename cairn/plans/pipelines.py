@@ -92,7 +92,7 @@ def prepare(catalog: Catalog, directory: str) -> dict[str, DataFrame]:
     mine, theirs = old.filter("kind = 'file'"), new.filter("kind = 'file'")
     gone = mine.select("cid").distinct().join(theirs.select("cid").distinct(), "cid", "left_anti")
     return {
-        "plan": scans.plan(new), "deleted": scans.deleted(old, new), "changed": scans.changed(mine, theirs),
+        "plan": scans.plan(new.withColumnRenamed("size", "len")), "deleted": scans.deleted(old, new), "changed": scans.changed(mine, theirs),
         "deleted_cids": gone, "added": scans.added(old, new), "previous": catalog.roots().filter(F.col("revision") == before),
     }
 
