@@ -13,13 +13,15 @@ Training takes at most TRAIN_ROWS labelled rows, outside the fold crc32(doc_id)
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import fold, labelled, read_table
+from cairn.llm.common import Scratch, fold, labelled, read_table
 from cairn.llm.textnum import _BASE, ALNUM, Texts, lowered, mix, ragged, text_map
 
 TRAIN_ROWS = 8_000
@@ -99,30 +101,27 @@ def fit_cumulative(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 1e-5,
     return par[:v], par[v] + np.concatenate([[0.0], np.cumsum(np.exp(np.clip(par[v + 1 :], -20, 5)))])
 
 
-def fit_ordinal(doc: np.ndarray, word: np.ndarray, count: np.ndarray, toxic: np.ndarray) -> Ordinal:
-    none = Ordinal(np.zeros(0, dtype=np.uint64), np.zeros(0), np.full(GRADES - 1, 30.0), 1.0)
+def marking_terms(rows: DataFrame, n: int, pos: int) -> np.ndarray:
+    """Sorted hashes of the TERMS terms that set toxic rows (toxic, words) apart best, by the z of the two shares."""
+    term = rows.select("toxic", F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("rows"), F.sum("toxic").alias("hits"))
+    p1, p0 = F.col("hits") / F.lit(pos), (F.col("rows") - F.col("hits")) / F.lit(n - pos)
+    share = F.col("rows") / F.lit(n)
+    z = (p1 - p0) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * F.lit(1 / pos + 1 / (n - pos)))
+    kept = term.filter((F.col("rows") >= LEAST_ROWS) & (p1 >= LEAST_RATIO * (p0 + F.lit(0.5 / (n - pos)))) & (z >= LEAST_Z))
+    got = kept.orderBy(F.desc(z), "term").limit(TERMS).select("term").toArrow()
+    return np.sort(got["term"].to_numpy().astype(np.uint64))
+
+
+def fit_ordinal(doc: np.ndarray, word: np.ndarray, count: np.ndarray, toxic: np.ndarray, term: np.ndarray) -> Ordinal:
+    """The model of rows' counts (doc, word, count) of the terms, which are sorted."""
     n, pos = len(toxic), int(toxic.sum())
-    if pos < 2 or pos == n:
-        return none
-    term, inv = np.unique(word, return_inverse=True)
-    in_toxic = np.bincount(inv, toxic[doc], minlength=len(term))
-    rows = np.bincount(inv, minlength=len(term))
-    share, p1, p0 = rows / n, in_toxic / pos, (rows - in_toxic) / (n - pos)
-    z = (p1 - p0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / pos + 1 / (n - pos)))
-    z[(rows < LEAST_ROWS) | (p1 < LEAST_RATIO * (p0 + 0.5 / (n - pos)))] = 0
-    chosen = np.sort(np.argsort(-z, kind="stable")[:TERMS])
-    chosen = chosen[z[chosen] >= LEAST_Z]
-    if not len(chosen):
-        return none
-    place = np.full(len(term), -1)
-    place[chosen] = np.arange(len(chosen))
-    hit = place[inv] >= 0
-    x = np.zeros((n, len(chosen)))
-    x[doc[hit], place[inv[hit]]] = 1 + np.log(count[hit])
-    marks = np.bincount(doc[hit], count[hit], minlength=n)
+    place = np.searchsorted(term, word)
+    x = np.zeros((n, len(term)))
+    x[doc, place] = 1 + np.log(count)
+    marks = np.bincount(doc, count, minlength=n)
     third = np.quantile(marks[toxic == 1], [1 / 3, 2 / 3])
     y = np.where(toxic == 1, 1 + np.searchsorted(third, marks, side="left"), 0)
-    model = Ordinal(term[chosen], *fit_cumulative(x, y, GRADES), 1.0)
+    model = Ordinal(term, *fit_cumulative(x, y, GRADES), 1.0)
     sev = model.expected(x @ model.weight)
     order = np.argsort(-sev, kind="stable")
     tp = np.cumsum(toxic[order])
@@ -135,19 +134,37 @@ def fit_ordinal(doc: np.ndarray, word: np.ndarray, count: np.ndarray, toxic: np.
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, n: int = TRAIN_ROWS) -> Ordinal:
+    """Terms are counted and chosen where the sample lies; the driver gets counts of TERMS terms in n rows at most."""
     rows = labelled(docs, labels.filter(F.col("toxic").isNotNull()).select("doc_id", "toxic"), n, 5, fold("doc_id", 4) != 2)
+    scratch = Scratch(docs.sparkSession, "toxicity")
 
     def fn(t: Texts) -> dict:
         doc, word, count = term_counts(t)
         each = np.bincount(doc, minlength=t.n)
         return {"words": ragged(word.astype(np.int64), each), "counts": ragged(count.astype(np.int32), each)}
 
-    got = text_map(rows.withColumn("toxic", F.col("toxic").cast("int")), ["doc_id", "toxic"], "text", "words array<long>, counts array<int>", fn).toArrow().sort_by("doc_id")
-    if not got.num_rows:
-        return fit_ordinal(np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+    rows = text_map(rows.withColumn("toxic", F.col("toxic").cast("int")), ["doc_id", "toxic"], "text", "words array<long>, counts array<int>", fn)
+    rows = scratch.write(rows, "terms")
+    total, pos = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).head()
+    none = Ordinal(np.zeros(0, dtype=np.uint64), np.zeros(0), np.full(GRADES - 1, 30.0), 1.0)
+    term = marking_terms(rows, total, pos) if 1 < pos < total else none.term
+    if not len(term):
+        scratch.drop()
+        return none
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, counts = b.column(2), b.column(3)
+            hit = np.isin(words.flatten().to_numpy().astype(np.uint64), term)
+            each = np.bincount(np.repeat(np.arange(b.num_rows), words.value_lengths().to_numpy())[hit], minlength=b.num_rows)
+            cols = [b.column(0), b.column(1), ragged(words.flatten().to_numpy()[hit], each), ragged(counts.flatten().to_numpy()[hit], each)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "toxic", "words", "counts"])
+
+    got = rows.mapInArrow(chosen, rows.schema).toArrow().sort_by("doc_id")
+    scratch.drop()
     words, counts = got["words"].combine_chunks(), got["counts"].combine_chunks()
     doc = np.repeat(np.arange(got.num_rows), words.value_lengths().to_numpy())
-    return fit_ordinal(doc, words.flatten().to_numpy().astype(np.uint64), counts.flatten().to_numpy(), got["toxic"].to_numpy().astype(float))
+    return fit_ordinal(doc, words.flatten().to_numpy().astype(np.uint64), counts.flatten().to_numpy(), got["toxic"].to_numpy().astype(float), term)
 
 
 def score_toxicity(docs: DataFrame, model: Ordinal, keep: list[str], text_col: str = "text") -> DataFrame:
