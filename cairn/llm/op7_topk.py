@@ -10,7 +10,8 @@ length. The integer products of what is left are exact.
 Defined cases: vectors that are null or hold null or non-finite components take no part; a query meets vectors of
 its own dimension only and never its own row number; empty vectors score 0; equal vectors and repeated ids are rows of
 their own, ties go to the smaller id; null ids take no part; an empty table gives no rows. Components are read as
-doubles, multiplied by 256 and rounded down; products that doubles hold exactly use them, larger ones exact integers.
+doubles, multiplied by 256 and rounded down; products that doubles hold exactly use them, larger ones exact integers, and a
+product beyond 64 bits counts as the largest or smallest such number.
 
 Equal lengths are split by id, so no bucket or task grows with the number of equal vectors. Query blocks times
 buckets is work that the contract asks for; what moves is whole blocks of vectors, never pairs.
@@ -71,7 +72,7 @@ def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     if most < _EXACT:
         return (q @ v.T).astype(np.int64)
     as_ints = lambda m: np.array([[int(x) for x in row] for row in m], dtype=object).reshape(m.shape)
-    return (as_ints(q) @ as_ints(v).T).astype(np.int64)
+    return np.clip(as_ints(q) @ as_ints(v).T, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
 class Bucket:
