@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 BLOCK_ROWS = 1 << 15
 _U = np.uint64
 _BASE, _MIX1, _MIX2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
