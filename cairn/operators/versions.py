@@ -20,9 +20,21 @@ def original(versions: DataFrame, order: list[str], columns: list[str]) -> DataF
     return versions.groupBy("drive").agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("v")).select("drive", *[f"v.{c}" for c in columns])
 
 
-def previous(versions: DataFrame, order: list[str], column: str) -> DataFrame:
-    """Each version with the one recorded before it on its drive."""
-    return versions.withColumn("previous", F.lag(column).over(Window.partitionBy("drive").orderBy(*order)))
+def previous(versions: DataFrame, order: list[str], column: str, span: Column | None = None) -> DataFrame:
+    """Each version with the one recorded before it on its drive.
+
+    With span, a non-decreasing function of the order (such as the day), a drive's versions are looked at span by span, so that
+    one drive with most of all versions is spread; the first version of a span takes the last one of the drive's span before.
+    """
+    if span is None:
+        return versions.withColumn("previous", F.lag(column).over(Window.partitionBy("drive").orderBy(*order)))
+    rows = versions.withColumn("__span", span)
+    inner = Window.partitionBy("drive", "__span").orderBy(*order)
+    rows = rows.withColumn("__before", F.lag(column).over(inner)).withColumn("__first", F.row_number().over(inner) == 1)
+    ends = rows.groupBy("drive", "__span").agg(F.max_by(column, F.struct(*order)).alias("__end"))
+    ends = ends.withColumn("__end", F.lag("__end").over(Window.partitionBy("drive").orderBy("__span")))
+    out = rows.join(ends, ["drive", "__span"])
+    return out.withColumn("previous", F.when(F.col("__first"), F.col("__end")).otherwise(F.col("__before"))).drop("__span", "__before", "__first", "__end")
 
 
 def history(versions: DataFrame, limit: int = 1_000_000) -> DataFrame:

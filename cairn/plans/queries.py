@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import columns as C
@@ -300,7 +300,7 @@ def _remote(spark, sf):
 
 @query("SELECT user_id AS drive, event_id AS metadata, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events")
 def q_prev(spark, sf):
-    return versions.previous(version_rows(spark, sf), ["ts", "metadata"], "metadata").select("drive", "metadata", "previous")
+    return versions.previous(version_rows(spark, sf), ["ts", "metadata"], "metadata", F.date_trunc("day", "ts")).select("drive", "metadata", "previous")
 
 
 @query("SELECT user_id AS drive, arg_max(event_id, row(ts, event_id)) AS metadata, arg_max(value, row(ts, event_id)) AS root, count(*) AS n_versions FROM events GROUP BY user_id")
@@ -318,7 +318,7 @@ w AS (SELECT id, id AS original, CAST(0 AS BIGINT) AS depth FROM p WHERE previou
       UNION ALL SELECT p.id, w.original, w.depth + 1 FROM p JOIN w ON p.previous = w.id)
 SELECT id, original, depth FROM w""")
 def q_history(spark, sf):
-    chain = versions.previous(version_rows(spark, sf), ["ts", "metadata"], "metadata")
+    chain = versions.previous(version_rows(spark, sf), ["ts", "metadata"], "metadata", F.date_trunc("day", "ts"))
     return versions.history(chain.select(F.col("metadata").alias("id"), "previous"))
 
 
@@ -363,12 +363,11 @@ def q_snapshot_sizes(spark, sf):
 
 @query("""SELECT user_id AS drive, event_id AS id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 THEN 'current' ELSE 'outdated' END AS state FROM events""")
 def q_push(spark, sf):
-    """The last version of each drive is pushed onto the others, whose last one was current."""
-    v = version_rows(spark, sf).select("drive", F.col("metadata").alias("id"), "ts")
-    rank = F.row_number().over(Window.partitionBy("drive").orderBy(F.desc("ts"), F.desc("id")))
-    v = v.withColumn("rank", rank)
-    old = v.filter("rank > 1").withColumn("state", F.when(F.col("rank") == 2, "current").otherwise("outdated")).drop("rank")
-    return versions.push(old, v.filter("rank = 1").withColumn("state", F.lit("uploading")).drop("rank")).select("drive", "id", "state")
+    """The last version of each drive is pushed onto the others, which were current in their time."""
+    v = version_rows(spark, sf).select("drive", F.col("metadata").alias("id"))
+    last = _remote(spark, sf).select("drive", F.col("metadata").alias("id"))
+    old = v.join(last, ["drive", "id"], "left_anti").withColumn("state", F.lit("current"))
+    return versions.push(old, last.withColumn("state", F.lit("uploading"))).select("drive", "id", "state")
 
 
 # sharing
