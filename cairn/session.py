@@ -50,3 +50,14 @@ class Scratch:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder; the path may be on any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Let Arrow batches of this session hold no more than so many bytes (by default they may hold 64 MB).
+
+    Each task has batches on both sides, in the JVM and in Python, so their size is a good part of an executor's memory.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
