@@ -98,3 +98,21 @@ def test_lz4_and_tokens(spark):
     assert bytes(row["z"][:4]).hex() == "04224d18" and row["u"] == row["b"]
     t = spark.range(1).select(sharing.token(F.lit("p"), F.lit("f"), F.lit("ñ?>~" * 30), F.lit(None).cast("string"), F.lit(3)).alias("t"))
     assert "\n" not in t.head()["t"] and t.select(sharing.read_token(F.col("t")).alias("r")).head()["r"]["file_name"] == "ñ?>~" * 30
+
+
+def test_previous_by_spans_is_lag(spark):
+    rows = spark.range(500).select((F.col("id") % 3).alias("drive"), F.timestamp_seconds(F.pmod(F.hash("id"), F.lit(900_000))).alias("ts"), "id")
+    plain = versions.previous(rows, ["ts", "id"], "id")
+    spread = versions.previous(rows, ["ts", "id"], "id", F.date_trunc("day", "ts"))
+    key = lambda df: sorted((r.id, r.previous if r.previous is not None else -1) for r in df.collect())
+    assert key(plain) == key(spread)
+
+
+def test_push_and_snapshot_restore(spark):
+    ddl = "id string, drive string, state string"
+    old = spark.createDataFrame([("1", "a", "outdated"), ("2", "a", "current"), ("3", "b", "current")], ddl)
+    out = versions.push(old, spark.createDataFrame([("4", "a", "pending")], ddl))
+    assert {(r.id, r.state) for r in out.collect()} == {("1", "outdated"), ("2", "outdated"), ("3", "current"), ("4", "current")}
+    snaps = spark.createDataFrame([("s", "a", "1")], "id string, drive string, metadata_id string")
+    back = versions.restore_snapshot(out, snaps, "s")
+    assert {(r.id, r.state) for r in back.collect()} == {("1", "current"), ("2", "outdated"), ("3", "current"), ("4", "outdated")}
