@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.session import Scratch, read_table, shared_dir
+from cairn.session import Scratch, read_table, shared_dir, small_batches
 
-__all__ = ["Scratch", "fold", "hash_sample", "labelled", "read_table", "shared_dir"]
+__all__ = ["Scratch", "fold", "hash_sample", "labelled", "read_table", "shared_dir", "small_batches"]
 
 
 def fold(col: str, mod: int) -> Column:

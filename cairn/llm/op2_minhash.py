@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Scratch, read_table
+from cairn.llm.common import Scratch, read_table, small_batches
 from cairn.llm.graph import components
 from cairn.llm.textnum import _BASE, WORD, Texts, blocks, mix, ragged, raw_texts, stream, text_map, uniform
 
@@ -39,7 +39,7 @@ IDF_CAP = float(np.log(4.0))
 BLOCK_NODES, BLOCK_BYTES = 128, 4 << 20
 SLAB = 4_096
 SEED = 2
-TABLE = 1 << 16
+TABLE_BITS = 13
 _U = np.uint64
 _LOW48 = _U((1 << 48) - 1)
 _TF = np.log(1 + np.log(np.maximum(np.arange(4096), 1))).astype(np.float32)  # ln of the tf part
@@ -106,7 +106,7 @@ def _draws() -> list[tuple]:
     """For each sample: hash multiplier, and by table place r ~ Gamma(2, 1), ln c with c ~ Gamma(2, 1), beta ~ U(0, 1)."""
     if not _random:
         for k in range(BANDS * ROWS):
-            u = [uniform(stream(10_000 * SEED + 10 * k + i, TABLE)) for i in range(5)]
+            u = [uniform(stream(10_000 * SEED + 10 * k + i, 1 << TABLE_BITS)) for i in range(5)]
             r, c = -np.log(u[0] * u[1]), -np.log(u[2] * u[3])
             _random.append((stream(777 + k, 1)[0] | _U(1), r.astype(np.float32), np.log(c).astype(np.float32), u[4].astype(np.float32)))
     return _random
@@ -130,7 +130,7 @@ def signatures(t: Texts, ln_idf: np.ndarray, capped: np.ndarray) -> tuple[np.nda
     base = mix(sh)
     keys = np.empty((len(head), BANDS), dtype=np.uint64)
     for k, (mult, r_all, lc_all, beta_all) in enumerate(_draws()):
-        place = ((base * mult) >> _U(48)).astype(np.int32)
+        place = ((base * mult) >> _U(64 - TABLE_BITS)).astype(np.int32)
         r, beta = r_all[place], beta_all[place]
         step = np.floor(weight / r + beta)
         rank = lc_all[place] - r * (step - beta + np.float32(1))
@@ -180,6 +180,7 @@ def verify(pairs: DataFrame, texts: DataFrame, capped: np.ndarray) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(id, class_id) of every row."""
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "minhash")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))

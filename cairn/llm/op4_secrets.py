@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cairn.llm.common import Scratch, read_table
+from cairn.llm.common import Scratch, read_table, small_batches
 from cairn.llm.textnum import LOWER, Texts, table, text_map
 
 #: kind, pattern, least length of the group, group, strings of which one must occur (in lower case) for a match.
@@ -164,6 +164,7 @@ def redact(rows: DataFrame, text_col: str, spans_col: str) -> DataFrame:
                 cols[ti] = pa.array([redacted(t, x) if x else t for t, x in zip(texts, listed, strict=True)], arrow.field(ti).type)
             yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
+    small_batches(rows.sparkSession)
     return rows.mapInArrow(run, schema)
 
 

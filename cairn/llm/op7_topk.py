@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Scratch, read_table
+from cairn.llm.common import Scratch, read_table, small_batches
 
 BUCKET = 1_024
 QUERY_BLOCK = 256
@@ -167,6 +167,7 @@ def _meet(pairs: DataFrame, k: int, bounds_only: bool) -> DataFrame:
 def top_k(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows for each row that is_query holds for."""
     spark = vectors.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "topk")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     x = F.transform(F.col(vector_col), lambda v: F.floor(v.cast("double") * 256).cast("double"))

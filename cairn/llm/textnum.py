@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
+from cairn.session import small_batches
+
 BLOCK = 1 << 20
 BLOCK_ROWS = 1 << 15
 _U = np.uint64
@@ -171,6 +173,7 @@ def text_map(df: DataFrame, keep: list[str], text: str, fields: str, fn: Callabl
                 cols += [out[k] if isinstance(out[k], pa.Array) else pa.array(out[k]) for k in names]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
+    small_batches(df.sparkSession)
     return df.select(*keep, *([text] if at == len(keep) else [])).mapInArrow(run, schema)
 
 
