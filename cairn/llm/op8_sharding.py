@@ -4,7 +4,8 @@ Law: `bytes`, shards of near-equal size. The range key is a hash of the text, so
 share a range. A sample of keys, drawn with probability in proportion to a row's share of bytes and rows, gives
 quantile boundaries of many small ranges; each range is then measured exactly, ranges that are overfull (one large
 group of equal texts) are subdivided by id, and runs of ranges make the shards. Nothing sorts or counts a whole
-shard in one task: slots come from a rank within a range and the range's exact offset.
+shard in one task: slots come from a rank within a chunk of a range and
+the exact offsets of chunk and range.
 
 Defined cases: a null text has size 1 and the crc32 of the empty text; equal rows and repeated or null ids each get
 a slot of their own; an empty table gives no rows. Texts are read once; what moves afterwards is about 40 bytes a row.
@@ -22,6 +23,7 @@ from cairn.llm.common import Scratch, read_table
 
 RANGES_PER_SHARD = 48
 SAMPLE_ROWS = 40_000
+CHUNK_ROWS = 1_000_000
 SEED = 8
 
 
@@ -77,13 +79,19 @@ def shard(docs: DataFrame, n_shards: int = 8, ranges_per_shard: int = RANGES_PER
     edges = [total * (i + 1) / n_shards for i in range(n_shards - 1)]
     for r in counted:
         s = bisect_right(edges, before + r["b"] / 2)
-        placed.append((r["range"], r["sub"], s, slots[s]))
+        placed.append((r["range"], r["sub"], s, slots[s], -(-r["n"] // CHUNK_ROWS)))
         before += r["b"]
         slots[s] += r["n"]
     # one row for each range: at most a few times parts, whatever the input's size
-    where = spark.createDataFrame(placed, "range int, sub int, shard int, slot0 long")
-    rank = F.row_number().over(Window.partitionBy("range", "sub").orderBy("key", "doc_id", "text_crc32")).cast("long")
-    return ranged.withColumn("rank", rank).join(F.broadcast(where), ["range", "sub"]).select("doc_id", "size", "text_crc32", "shard", (F.col("slot0") + F.col("rank") - 1).alias("slot"))
+    where = spark.createDataFrame(placed, "range int, sub int, shard int, slot0 long, chunks long")
+    dealt = ranged.join(F.broadcast(where), ["range", "sub"]).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "key", F.lit(seed + 2)), F.col("chunks")))
+    # a range is ranked in chunks, which start where the chunks before them end
+    ends = dealt.groupBy("range", "sub", "chunk").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("range", "sub").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select("range", "sub", "chunk", F.coalesce(before, F.lit(0)).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("range", "sub", "chunk").orderBy("key", "doc_id", "text_crc32")).cast("long")
+    ranked = dealt.withColumn("rank", rank).join(ends, ["range", "sub", "chunk"])
+    return ranked.select("doc_id", "size", "text_crc32", "shard", (F.col("slot0") + F.col("base") + F.col("rank") - 1).cast("long").alias("slot"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,6 +239,14 @@ def test_op8_shards(spark, corpus, edge):
             assert max(sizes) < near * sum(sizes) / 8 and len({(r["text_crc32"], r["size"], r["shard"]) for r in rows}) == len({(r["text_crc32"], r["size"]) for r in rows})
 
 
+def test_op8_chunks_of_a_range(spark, corpus, monkeypatch):
+    monkeypatch.setattr(op8_sharding, "CHUNK_ROWS", 2)
+    by = defaultdict(list)
+    for r in table(op8_sharding.op8_sharding(spark, corpus)):
+        by[r["shard"]].append(r["slot"])
+    assert len(by) == 8 and all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
 def test_op8_hot_text_is_subdivided(spark):
     rows = [(i, "same" * 50 if i % 3 == 0 else prose(i, 30)) for i in range(6000)]
     out = table(op8_sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")))
