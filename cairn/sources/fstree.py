@@ -1,6 +1,7 @@
 """Data source `fstree`: a directory tree as rows, hidden files, empty directories and symlinks included.
 
-Links are never followed. Option `content=true` reads file bodies. Each top-level entry is a partition. The writer puts
+Links are never followed. Option `content=true` reads file bodies. Directories are opened level by level until there are
+LEAST_ENTRIES subtrees, which are dealt to at most MOST_PARTITIONS partitions. The writer puts
 rows (path, kind, content, symlink_target) back on disk: parents first, links last, in the commit.
 """
 
@@ -19,9 +20,13 @@ from cairn.errors import CairnError
 from cairn.schemas import SCAN
 
 
+LEAST_ENTRIES, MOST_PARTITIONS = 64, 256
+
+
 @dataclass
 class Entry(InputPartition):
-    names: list[str]
+    opened: list[str]
+    subtrees: list[str]
 
 
 def _time(t: float) -> datetime:
@@ -33,17 +38,29 @@ class TreeReader(DataSourceReader):
         self.root, self.content = os.path.abspath(root), content
 
     def partitions(self) -> list[InputPartition]:
-        return [Entry([n]) for n in sorted(os.listdir(self.root))] or [Entry([])]
+        opened: list[str] = []
+        subtrees = sorted(os.listdir(self.root))
+        while len(subtrees) < LEAST_ENTRIES and (dirs := [p for p in subtrees if self._is_dir(p)]):
+            opened += dirs
+            rest = [p for p in subtrees if not self._is_dir(p)]
+            subtrees = rest + [f"{d}/{n}" for d in dirs for n in sorted(os.listdir(os.path.join(self.root, d)))]
+        n = min(MOST_PARTITIONS, max(1, len(subtrees)))
+        return [Entry(opened[i::n], subtrees[i::n]) for i in range(n)]
+
+    def _is_dir(self, path: str) -> bool:
+        full = os.path.join(self.root, path)
+        return os.path.isdir(full) and not os.path.islink(full)
 
     def read(self, partition: Entry) -> Iterator[tuple]:
-        for name in partition.names:
-            yield from self._walk(name)
+        for path in partition.opened:
+            yield self._row(path)
+        for path in partition.subtrees:
+            yield from self._walk(path)
 
     def _walk(self, path: str) -> Iterator[tuple]:
         yield self._row(path)
-        full = os.path.join(self.root, path)
-        if os.path.isdir(full) and not os.path.islink(full):
-            for name in sorted(os.listdir(full)):
+        if self._is_dir(path):
+            for name in sorted(os.listdir(os.path.join(self.root, path))):
                 yield from self._walk(f"{path}/{name}")
 
     def _row(self, path: str) -> tuple:
