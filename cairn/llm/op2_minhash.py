@@ -1,9 +1,10 @@
 """Near-duplicates: consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
 
 1. Document frequencies of five-word shingles, over all documents, in DF_BUCKETS hashed counters.
-2. One pass signs each text: improved consistent weighted sampling (Ioffe 2010) of its shingles by
-   (1 + ln tf) * ln(1 + N / df), BANDS bands of ROWS samples. A shingle's random numbers come from a fixed table by
-   hash, and ties go to the smaller shingle, so equal weights give equal samples everywhere.
+2. One pass signs each text: improved consistent weighted sampling (Ioffe 2010) of its shingles by the weight that
+   decides in 4, BANDS bands of ROWS samples, so that two texts share a sample as often as they are similar. A shingle's
+   random numbers come from a fixed table by hash, and ties go to the smaller shingle, so equal weights give equal
+   samples everywhere.
 3. Exact copies (two 64-bit hashes of the text) are one node from here on: the copy with the smallest id.
 4. Nodes that share a band's key and a level of total weight are a bucket; each is compared with the bucket's smallest
    id. The similarity is the weighted Jaccard of (1 + ln tf) * min(ln(1 + N / df), IDF_CAP); 0.8 or more makes a link.
@@ -112,7 +113,7 @@ def _draws() -> list[tuple]:
     return _random
 
 
-def signatures(t: Texts, ln_idf: np.ndarray, capped: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(t: Texts, ln_weight: np.ndarray, capped: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Band keys of the texts in a row, and their number by text (none for a text without words).
 
     Similar texts have similar total weights: their ratio is no less than the similarity. So each band's key is given
@@ -123,7 +124,7 @@ def signatures(t: Texts, ln_idf: np.ndarray, capped: np.ndarray) -> tuple[np.nda
     n_keys = np.zeros(t.n, dtype=np.int64)
     if not len(doc):
         return np.zeros(0, dtype=np.int64), n_keys
-    weight = _TF[np.minimum(count, len(_TF) - 1)] + ln_idf[_bucket(sh)]  # both from tables: the same in every task
+    weight = _TF[np.minimum(count, len(_TF) - 1)] + ln_weight[_bucket(sh)]  # both from tables: the same in every task
     head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
     size = np.diff(np.append(head, len(doc)))
     own = np.repeat(np.arange(len(head)), size)
@@ -185,11 +186,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     df, n = frequencies(rows)
-    weights = idf(df, n)
-    ln_idf, capped = np.log(weights), np.minimum(weights, np.float32(IDF_CAP))
+    capped = np.minimum(idf(df, n), np.float32(IDF_CAP))
+    ln_weight = np.log(capped)
 
     def sign(t: Texts) -> dict:
-        keys, count = signatures(t, ln_idf, capped)
+        keys, count = signatures(t, ln_weight, capped)
         return {"bands": ragged(keys, count)}
 
     hashed = rows.select("id", "text", F.xxhash64("text", F.lit(1)).alias("h1"), F.xxhash64("text", F.lit(2)).alias("h2"))

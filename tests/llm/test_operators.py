@@ -397,6 +397,15 @@ def test_op2_against_all_pairs(spark):
     assert len({got[400 + i] for i in range(12)}) == 1 and got[100] == 100 and got[101] == 101 and got[501] == 500
 
 
+def test_op2_finds_near_copies_in_a_group_of_a_third(spark):
+    rows = [(0, prose(1, 400))] + [(1 + i, edited(prose(1, 400), i, 8)) for i in range(80)]  # a tenth of the shingles is new: 0.8 of the first alone
+    rows += [(1000 + i, prose(2000 + i, 60)) for i in range(162)]
+    got = {r["doc_id"]: r["class_id"] for r in table(op2_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")))}
+    want = brute_classes(rows)
+    assert sum(want[i] == 0 for i in range(81)) == 81
+    assert got == want
+
+
 def test_op2_components(spark):
     from cairn.llm.graph import components
 
