@@ -328,6 +328,33 @@ def test_op10_lossless_and_varied(docs, spark):
     assert {r["doc_id"]: r["text"] for r in table(back)} == dict(enumerate(texts))
 
 
+def test_op10_every_occurrence_has_its_own_skips(docs, monkeypatch):
+    c = op10_sentencepiece.Codec(PIECES, 0.1)
+    word, texts = " international", [f"text {i}" + " international" * 50 for i in range(40)]
+
+    def cuts(texts):
+        ids, n = c.encode([x.encode() for x in texts])
+        return [tuple(x.tolist()) for x in np.split(ids, np.cumsum(n)[:-1])]
+
+    key = op10_sentencepiece.stream(9, 2000)  # as many keys, unit by unit
+    ids, n = c.segment([word] * len(key), key)
+    free = len({tuple(x.tolist()) for x in np.split(ids, np.cumsum(n)[:-1])})
+    ids, _ = c.encode([(word * 2000)[1:].encode()])
+    found, pieces = set(), []
+    for i in ids.tolist():
+        if c.raw[i].startswith(b" ") and pieces:
+            found.add(tuple(pieces))
+            pieces = []
+        pieces.append(i)
+    assert free > 8 and 0.7 * free < len(found) < 1.4 * free
+    assert len({x[-60:] for x in cuts(texts)}) == len(texts)
+    # what comes from the cache is what each unit's own key gives
+    texts = [*list(docs.values())[:300], *ODD, *texts]
+    cached = cuts(texts)
+    monkeypatch.setattr(op10_sentencepiece, "CACHED_BYTES", 0)
+    assert cuts(texts) == cached
+
+
 def test_op10_heap_is_the_matrix(docs, monkeypatch):
     c = op10_sentencepiece.Codec(PIECES, 0.15)
     words = sorted({w for x in list(docs.values())[:30] for w in x.split(" ") if w})[:500]
