@@ -10,6 +10,7 @@ from io import BytesIO
 from typing import Any, BinaryIO
 
 from cairn.errors import CodecError
+from cairn.functions.blake3 import blake3 as blake3
 
 # Fixed values of the formats.
 RAW, DAG_PB, DAG_CBOR = 0x55, 0x70, 0x71
@@ -327,45 +328,3 @@ def with_roots(raw: bytes, roots: list[bytes]) -> bytes:
     """A CARv1 with other roots: the blocks follow a header of another size, so all offsets are new."""
     a = Archive(BytesIO(raw))
     return v1_header(roots, a.version) + raw[a.first_block : a.stop]
-
-
-def blake3(data: bytes) -> bytes:
-    """BLAKE3 digest (32 bytes), from its specification."""
-    iv = [0x6A09E667, 0xBB67AE85, 0x3C6EF372, 0xA54FF53A, 0x510E527F, 0x9B05688C, 0x1F83D9AB, 0x5BE0CD19]
-    order = [2, 6, 3, 10, 7, 0, 4, 13, 1, 11, 12, 5, 9, 14, 15, 8]
-    lanes = [(0, 4, 8, 12), (1, 5, 9, 13), (2, 6, 10, 14), (3, 7, 11, 15), (0, 5, 10, 15), (1, 6, 11, 12), (2, 7, 8, 13), (3, 4, 9, 14)]
-    mask, start, end, parent, root = 0xFFFFFFFF, 1, 2, 4, 8
-
-    def compress(cv: list[int], words: list[int], counter: int, size: int, flags: int) -> list[int]:
-        s = cv + iv[:4] + [counter & mask, counter >> 32 & mask, size, flags]
-        for r in range(7):
-            for i, (a, b, c, d) in enumerate(lanes):
-                for x, (p, q) in zip(words[2 * i : 2 * i + 2], ((16, 12), (8, 7)), strict=True):
-                    s[a] = (s[a] + s[b] + x) & mask
-                    v = s[d] ^ s[a]
-                    s[d] = (v >> p | v << (32 - p)) & mask
-                    s[c] = (s[c] + s[d]) & mask
-                    v = s[b] ^ s[c]
-                    s[b] = (v >> q | v << (32 - q)) & mask
-            words = [words[k] for k in order] if r < 6 else words
-        return [s[i] ^ s[i + 8] for i in range(8)]
-
-    def words_of(raw: bytes) -> list[int]:
-        return list(struct.unpack("<16I", raw.ljust(64, b"\0")))
-
-    def chunk(raw: bytes, counter: int, last: int) -> list[int]:
-        cv, parts = iv[:], [raw[i : i + 64] for i in range(0, len(raw), 64)] or [b""]
-        for i, p in enumerate(parts):
-            flags = start * (i == 0) | (end | last) * (i == len(parts) - 1)
-            cv = compress(cv, words_of(p), counter, len(p), flags)
-        return cv
-
-    def tree(first: int, raw: bytes, last: int) -> list[int]:
-        n = -(-len(raw) // 1024)
-        if n <= 1:
-            return chunk(raw, first, last)
-        left = 1 << ((n - 1).bit_length() - 1)
-        pair = tree(first, raw[: left * 1024], 0) + tree(first + left, raw[left * 1024 :], 0)
-        return compress(iv[:], pair, 0, 64, parent | last)
-
-    return struct.pack("<8I", *tree(0, data, root))

@@ -170,6 +170,6 @@ def lz4_decompress(raw: pd.Series) -> pd.Series:
 
 @F.pandas_udf(BinaryType())
 def blake3(raw: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Archive digests. Plain Python: for archives' headers and small uploads, not for bulk content."""
+    """BLAKE3 of each value; archives are digested part by part (store.digests, car.digests)."""
     for s in raw:
         yield s.map(lambda x: None if x is None else codec.blake3(bytes(x)))

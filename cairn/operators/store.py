@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.functions import blake3, codec
 from cairn.functions.codec import V2_START
 from cairn.functions.columns import block_size
 
@@ -48,6 +53,75 @@ def headers(placed: DataFrame, part: str = "delta") -> DataFrame:
     )
 
 
+def _laid_out(kind: str, cid: bytes, content: bytes, x: int, y: int) -> bytes:
+    if kind == "block":
+        return codec.block(cid, content)
+    if kind == "entry":
+        return cid + struct.pack("<Q", x)
+    if kind == "index":
+        return codec.varint(codec.INDEX_SORTED) + struct.pack("<IQ", 44, x)
+    return codec.PRAGMA + codec.V2_HEADER.pack(codec.FULLY_INDEXED, V2_START, x, y) + codec.v1_header([], 2)
+
+
+def archive_parts(placed: DataFrame, part: str = "delta") -> DataFrame:
+    """(part column, no, raw): the bytes of each archive that layout() places (cid in hex, content), cut at blake3.PART.
+
+    An index entry's place is its content's rank, a running sum by the first 60 bits of the hashes.
+    """
+    idx = index(placed, part).withColumn("__o", F.conv(F.substring("cid", 9, 15), 16, 10).cast("long"))
+    idx = running_start(idx, part, "__o", F.lit(44), "__at", span=1 << 48)
+    heads = headers(placed, part).join(idx.groupBy(part).agg(F.count("*").alias("n")), part)
+    none, zero = F.lit(None).cast("binary"), F.lit(0).cast("long")
+
+    def rows(df: DataFrame, kind: str, at: Column, cid: Column = none, content: Column = none, x: Column = zero, y: Column = zero) -> DataFrame:
+        return df.select(part, at.cast("long").alias("at"), F.lit(kind).alias("kind"), cid.alias("cid"), content.alias("content"), x.cast("long").alias("x"), y.cast("long").alias("y"))
+
+    raw_cid, end = F.unhex("cid"), F.col("index_offset")
+    entries = idx.join(heads.select(part, "index_offset"), part)
+    every = rows(placed, "block", F.col("offset"), raw_cid, F.col("content")).unionByName(rows(entries, "entry", end + 14 + F.col("__at"), raw_cid, x=F.col("offset")))
+    every = every.unionByName(rows(heads, "index", end, x=F.col("n"))).unionByName(rows(heads, "head", zero, x=F.col("data_size"), y=end))
+    size = blake3.PART
+    kind = placed.schema[part].dataType.simpleString()
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for key, at, what, cid, content, x, y in pdf.itertuples(index=False):
+                raw = _laid_out(what, cid, content, x, y)
+                while raw:
+                    k = min(len(raw), size - at % size)
+                    out.append((key, at // size, at, raw[:k]))
+                    raw, at = raw[k:], at + k
+            yield pd.DataFrame(out, columns=[part, "no", "at", "raw"])
+
+    def glue(pdf: pd.DataFrame) -> pd.DataFrame:
+        raw = b"".join(pdf.sort_values("at")["raw"])
+        return pd.DataFrame({part: pdf[part].iloc[:1], "no": pdf["no"].iloc[:1], "raw": [raw]})
+
+    pieces = every.mapInPandas(cut, f"{part} {kind}, no long, at long, raw binary")
+    return pieces.groupBy(part, "no").applyInPandas(glue, f"{part} {kind}, no long, raw binary")
+
+
+def digests(parts: DataFrame, by: str) -> DataFrame:
+    """(by, digest, length): BLAKE3 of the bytes whose parts (by, no, raw) are given. A group's list has 72 bytes for each part."""
+    kind = parts.schema[by].dataType.simpleString()
+
+    def value(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            raws = [bytes(r) for r in pdf["raw"]]
+            values = [blake3.part_value(r, int(no)) for r, no in zip(raws, pdf["no"], strict=True)]
+            alone = [blake3.whole_value(r) if no == 0 else b"" for r, no in zip(raws, pdf["no"], strict=True)]
+            yield pd.DataFrame({by: pdf[by], "no": pdf["no"], "value": values, "alone": alone, "length": [len(r) for r in raws]})
+
+    @F.udf("binary")
+    def join(found: list) -> bytes:
+        return bytes(found[0]["alone"]) if len(found) == 1 else blake3.join_parts([bytes(x["value"]) for x in found])
+
+    values = parts.select(by, "no", "raw").mapInPandas(value, f"{by} {kind}, no long, value binary, alone binary, length long")
+    lists = values.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("no", "value", "alone"))).alias("found"), F.sum("length").alias("length"))
+    return lists.select(by, join("found").alias("digest"), "length")
+
+
 def lookup(requested: DataFrame, idx: DataFrame) -> DataFrame:
     """Requested contents with the number of archives that have them; 0 is a missing block."""
     have = idx.groupBy("cid").agg(F.count("*").alias("n_archives"), F.max("delta").alias("delta"))

@@ -145,11 +145,13 @@ class Mount:
         return sync(self.catalog, self.remote)
 
     def push(self) -> str:
-        """Bring the remote to the drive's revisions: contents that it lacks first, then nodes and roots."""
+        """Bring the remote to the drive's revisions: contents that it lacks and their archives' digests first, then nodes and roots."""
         if self.remote is None:
             raise CairnError("this drive has no remote")
         if self.catalog._exists("blocks"):
             self.remote.put(self.catalog.blocks().select("cid", "content"))
+            if self.remote._exists("blocks"):
+                self.remote.record_uploads()
         _copy_revisions(self.catalog, self.remote)
         return self.state()
 

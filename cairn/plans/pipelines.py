@@ -13,7 +13,7 @@ from cairn.errors import NodeNotFound
 from cairn.functions.columns import cid_hex, mime_type
 from cairn.operators import scan as scans
 from cairn.operators import store, tree, versions
-from cairn.sources import register
+from cairn.sources import car, register
 
 NODE = "path string, kind string, cid string, size long, symlink_target string, mime_type string"
 
@@ -48,6 +48,17 @@ class Catalog:
         raw = self.spark.read.format("car").option("content", str(content).lower()).load(f"{self.root}/blocks")
         return raw.withColumn("cid", F.lower(F.hex("cid")))
 
+    def uploads(self) -> DataFrame:
+        """(delta, length, digest) of the archives that were pushed here: bytes and BLAKE3 in hex."""
+        ddl = "delta int, length long, digest string"
+        return self.spark.read.schema(ddl).parquet(f"{self.root}/uploads") if self._exists("uploads") else self.spark.createDataFrame([], ddl)
+
+    def record_uploads(self) -> None:
+        """Digest the archives that have no record yet."""
+        known = {r["delta"] for r in self.uploads().select("delta").collect()}  # a row for each archive
+        found = car.digests(self.spark, f"{self.root}/blocks", known)
+        found.select("delta", "length", F.lower(F.hex("digest")).alias("digest")).write.mode("append").parquet(f"{self.root}/uploads")
+
     def commit(self, nodes: DataFrame) -> int:
         """Write nodes as the next revision, then its root."""
         before = self.revision()

@@ -430,9 +430,10 @@ def r_lz4(spark, sf):
 
 @query()
 def r_blake3(spark, sf):
-    """Digests of the archive headers, as an upload records them."""
-    rows = store.headers(_placed(spark, sf))
-    return rows.select("delta", F.hex(C.blake3(F.to_json(F.struct("delta", "data_size", "index_offset")).cast("binary"))).alias("digest"))
+    """BLAKE3 of the bytes of each archive (header, blocks, index), as an upload records it."""
+    rows = files(spark, sf, content=True).filter("text IS NOT NULL").withColumn("content", F.encode("text", "UTF-8")).drop("text")
+    parts = store.archive_parts(store.layout(rows, "delta", "doc_id"))
+    return store.digests(parts, "delta").select("delta", F.hex("digest").alias("digest"))
 
 
 @query()

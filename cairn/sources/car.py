@@ -19,12 +19,14 @@ from io import BytesIO
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from cairn.errors import CodecError
-from cairn.functions import codec
+from cairn.functions import blake3, codec
+from cairn.operators import store as stores
 from cairn.schemas import struct
 
 SCHEMA = struct("archive string, delta int, cid binary, offset long, length long, content binary")
@@ -190,6 +192,26 @@ class CarDataSource(DataSource):
         return CarWriter(self.options["path"], schema, overwrite, self.options)
 
 
+def digests(spark: SparkSession, path: str, known: set[int] = frozenset()) -> DataFrame:
+    """(delta, archive, length, digest) of a folder's archives but the known deltas: BLAKE3 of their bytes, read in parts where they are hashed."""
+    store, _ = filesystem(path)
+    found = [(p, delta_of(p), store.get_file_info(p).size) for p in archives(path) if delta_of(p) not in known]
+    files = spark.createDataFrame(found, "archive string, delta int, size long")
+    size = blake3.PART
+    parts = files.select("archive", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.greatest("size", F.lit(1)) - 1) / size))).alias("no"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, _ = filesystem(path)
+        for pdf in batches:
+            for archive, no in pdf.itertuples(index=False):
+                with store.open_input_file(archive) as f:
+                    f.seek(no * size)
+                    yield pd.DataFrame({"archive": [archive], "no": [no], "raw": [f.read(size)]})
+
+    read_parts = parts.repartition("archive", "no").mapInPandas(read, "archive string, no long, raw binary")
+    return files.drop("size").join(stores.digests(read_parts, "archive"), "archive").select("delta", "archive", "length", "digest")
+
+
 def pack(blocks: DataFrame, by: str, roots: list[bytes] | None = None) -> DataFrame:
     """(by, archive): the blocks (by, content) of each group as one archive in memory. For groups that fit one value;
     larger ones are written with the data source, which starts a new archive every max_bytes."""
