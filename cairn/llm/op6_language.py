@@ -10,7 +10,7 @@ segments of a text, so that long texts need no long loops.
 
 Defined cases: `und` with score 0 if the text is null or has no letter; equal texts get equal results, repeated rows
 stay repeated; without any labelled row every text is `und`; other columns are not read. Training takes at most
-TRAIN_ROWS texts outside the fold crc32(doc_id) mod 5 = 0; lang, source and doc_id are never inputs.
+TRAIN_ROWS texts outside the fold crc32(doc_id) mod 5 = 0, and more than LANGUAGES languages there are an error; lang, source and doc_id are never inputs.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from cairn.llm.common import fold, hash_sample, read_table
 from cairn.llm.textnum import SPACE, Texts, lowered, mix, stream, table, text_map
 
 TRAIN_ROWS = 1_500
+LANGUAGES = 64  # memory of the fit grows with their square; more are an error
 SEQUENCES = 2_500
 LENGTH = 40
 SEGMENT = 64
@@ -224,7 +225,9 @@ def training_texts(docs: DataFrame, n: int = TRAIN_ROWS) -> tuple[list[bytes], l
     """Whole texts of at most n labelled rows outside the held-out fold: as many of each language as there are."""
     rows = docs.select("doc_id", "text", "lang").filter((fold("doc_id", 5) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     ids = rows.select("doc_id", "lang")
-    langs = sorted(r[0] for r in ids.groupBy("lang").count().orderBy(F.desc("count")).limit(64).select("lang").collect())
+    langs = sorted(r[0] for r in ids.select("lang").distinct().limit(LANGUAGES + 1).collect())
+    if len(langs) > LANGUAGES:
+        raise ValueError(f"the training fold has more than {LANGUAGES} languages; none is dropped, so the model can't be fitted")
     each = max(1, n // max(1, len(langs)))
     sample = None
     for lang in langs:

@@ -210,6 +210,16 @@ def brute_top(rows, every=50, k=5):
     return sorted(out)
 
 
+def test_op6_drops_no_language(spark):
+    def learnt(n):
+        rows = [(i, f"text {i}", f"l{i % n:02}") for i in range(8 * n)]
+        return set(op6_language.training_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"))[1])
+
+    assert len(learnt(5)) == 5
+    with pytest.raises(ValueError, match="64"):
+        learnt(65)
+
+
 def test_op7_edges(spark, edge):
     rows = [(r["vec_id"], r["embedding"]) for r in table(spark.read.parquet(f"{edge}/embeddings.parquet"))]
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in table(op7_topk.op7_topk(spark, edge)))
