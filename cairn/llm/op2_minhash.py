@@ -14,8 +14,8 @@
 6. Components of the links are the classes, named by their smallest id.
 
 Defined cases: a null text counts as empty; texts without words are alike only if they are equal; texts of one to four
-words have one shingle; rows of one id are one document and stay or go together; a null id follows the copies of its
-text; an empty table gives no rows; other columns are not read. Texts are read whole, two times, and move once: those
+words have one shingle; rows of one id are one document and stay or go together, and a null id follows the copies of
+its text (the pipeline's stage tells rows apart by a key of its own); an empty table gives no rows; other columns are not read. Texts are read whole, two times, and move once: those
 with candidates, by id.
 """
 
@@ -310,11 +310,12 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, with all its columns; documents without an id stay."""
-    out = classes(docs.select("doc_id", "text"))
-    keep = out.filter("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(keep.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    """One row of each class, with all its columns: that of the smallest id; rows without an id come last."""
+    keyed = Scratch(spark, "minhash-rows").write(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    out = classes(keyed.select("__row", "text"), "__row").join(keyed.select("__row", "doc_id"), "__row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first")
+    keep = out.groupBy("class_id").agg(first).select("first.__row")
+    return keyed.join(keep.hint("shuffle_hash"), "__row", "left_semi").select(*docs.columns)
 
 
 QUERIES = {"op2_minhash": op2_minhash}

@@ -443,6 +443,14 @@ def test_op2_finds_near_copies_in_a_group_of_a_third(spark):
     assert got == want
 
 
+def test_op2_stage_keeps_a_row_of_each_class_whatever_its_id(spark):
+    a, b, c = prose(1, 100), prose(2, 100), prose(3, 100)
+    rows = [(None, a), (None, a), (7, a), (9, edited(a, 1, 1)), (None, b), (None, b), (None, edited(b, 2, 1)), (5, c), (5, c), (5, prose(4, 100))]
+    got = table(op2_minhash.minhash_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), ""))
+    assert [r["text"] for r in got if r["doc_id"] is not None and r["text"] == a] == [a] and len(got) == 4
+    assert sum(r["doc_id"] is None for r in got) == 1 and sorted(r["text"] for r in got if r["doc_id"] == 5) == sorted([c, prose(4, 100)])
+
+
 def test_op2_components(spark):
     from cairn.llm.graph import components
 
