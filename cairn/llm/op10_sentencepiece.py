@@ -260,13 +260,15 @@ class Codec:
 
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # units, their ids in a row, number by unit
         live = np.flatnonzero(size <= CACHED_BYTES)
-        node = t.hashes(start[live], start[live] + size[live])
+        node, check = (t.hashes(start[live], start[live] + size[live], i) for i in (0, 1))
         sets = np.full((len(live), CACHED_SKIPS), -1, dtype=np.int32)
         for level in range(CACHED_SKIPS + 1):
             if not len(live):
                 break
             distinct, first, inverse = np.unique(node, return_index=True, return_inverse=True)
-            pool, at, n = self.cache.get(distinct, lambda new: self.paths(units(live[first[new]]), sets[first[new], :level]))  # noqa: B023
+            if (check != check[first][inverse]).any():  # units that share a key
+                distinct, first, inverse = np.unique(mix(node ^ check), return_index=True, return_inverse=True)
+            pool, at, n = self.cache.get(distinct, check[first], lambda new: self.paths(units(live[first[new]]), sets[first[new], :level]))  # noqa: B023
             at, n = at[inverse], n[inverse]
             m = pool[at].astype(np.int64)
             owner, place = np.repeat(np.arange(len(live)), m), gather(pool, at + 1, m)
@@ -277,7 +279,8 @@ class Codec:
             done[more] = False
             k = (n - 1 - m)[done]
             parts.append((live[done], gather(pool, (at + 1 + m)[done], k), k))
-            live, node, sets = live[more], mix(node[more] + (place + 1).astype(np.uint64) * _BASE), sets[more]
+            step = (place + 1).astype(np.uint64) * _BASE
+            live, node, check, sets = live[more], mix(node[more] + step), mix(check[more] ^ step), sets[more]
             if level < CACHED_SKIPS:
                 sets[:, level] = place
         rest = np.concatenate([live, np.flatnonzero(size > CACHED_BYTES)])

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from cairn.llm.common import Scratch, read_table
-from cairn.llm.textnum import WORD, Texts, mix, stream, text_map
+from cairn.llm.textnum import WORD, Texts, distinct, mix, stream, text_map
 from cairn.llm.wordcache import WordCache, gather
 
 LENGTH = 4096
@@ -107,9 +107,9 @@ class WordTokens:
     def encode(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the block's texts, each with END_ID behind it, and their number by text."""
         s, e, doc = t.spans(WORD)
-        distinct, first, inverse = np.unique(t.hashes(s, e), return_index=True, return_inverse=True)
+        keys, check, first, inverse = distinct(t, s, e)
         raw = t.buf.tobytes()
-        pool, at, n = self.cache.get(distinct, lambda new: self.tokenize([raw[s[k] : e[k]].decode("utf-8", "replace") for k in first[new]]))
+        pool, at, n = self.cache.get(keys, check, lambda new: self.tokenize([raw[s[k] : e[k]].decode("utf-8", "replace") for k in first[new]]))
         at, n = at[inverse], n[inverse]
         by_doc = np.bincount(doc, n, minlength=t.n).astype(np.int64)
         ends = np.cumsum(by_doc + 1)

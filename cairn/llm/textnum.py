@@ -7,6 +7,7 @@ batch holds; a text longer than that makes a block of its own and is still handl
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -44,21 +45,8 @@ def uniform(h: np.ndarray) -> np.ndarray:
     return ((h >> _U(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
-_BYTE = stream(11, 256)
-_P = _U(0xD6E8FEB86659FD93)
-_P_INV = _U(pow(int(_P), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        have = np.full(max(n, BLOCK + (1 << 16)), base, dtype=np.uint64)
-        have[0] = 1
-        have = np.cumprod(have, dtype=np.uint64)
-        if n <= 8 * BLOCK:
-            _powers[name] = have
-    return have[:n]
+LANES = 32  # spans of more words of 8 bytes are hashed by BLAKE2
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 
 
 def table(*ranges: tuple[int, int]) -> np.ndarray:
@@ -93,27 +81,39 @@ class Texts:
     def __init__(self, raw: list[bytes]):
         self.n = len(raw)
         size = np.fromiter(map(len, raw), dtype=np.int64, count=self.n)
-        self.buf = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
+        self._hold(b"\n".join([*raw, bytes(8)]))
         self.end = np.cumsum(size + 1) - 1
         self.start = self.end - size
-        self._prefix: np.ndarray | None = None
+
+    def _hold(self, padded: bytes) -> None:
+        self._padded = padded
+        self.buf = np.frombuffer(padded, dtype=np.uint8)[:-8]
 
     def with_buf(self, buf: np.ndarray) -> Texts:
         """The same texts with other bytes at the same places (such as lower case)."""
         other = object.__new__(Texts)
-        other.n, other.start, other.end, other.buf, other._prefix = self.n, self.start, self.end, buf, None
+        other.n, other.start, other.end = self.n, self.start, self.end
+        other._hold(buf.tobytes() + bytes(8))
         return other
 
+    def raw(self, i: int) -> bytes:
+        return self._padded[int(self.start[i]) : int(self.end[i])]
+
+    def flags(self, table: np.ndarray) -> np.ndarray:
+        """For each byte, whether the table holds it."""
+        return np.frombuffer(self._padded.translate(table.tobytes()), dtype=bool)[:-8]
+
     def per_text(self, flags: np.ndarray) -> np.ndarray:
         """Sums of a number for each byte, by text."""
-        c = np.zeros(len(flags) + 1, dtype=np.int64)
-        np.cumsum(flags, out=c[1:])
-        return c[self.end] - c[self.start]
+        if not self.n:
+            return np.zeros(0, dtype=np.int64)
+        edges = np.stack([self.start, self.end], axis=1).ravel()
+        return np.where(self.end > self.start, np.add.reduceat(flags, edges, dtype=np.int64)[::2], 0)
 
     def spans(self, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and text number of each maximal run of word bytes."""
         w = np.zeros(len(self.buf) + 2, dtype=np.int8)
-        w[1:-1] = is_word[self.buf]
+        w[1:-1] = self.flags(is_word)
         if is_word[10]:
             w[self.end + 1] = 0
         d = np.diff(w)
@@ -125,14 +125,32 @@ class Texts:
         s = np.concatenate(([0], e[:-1] + 1)) if len(e) else e
         return s, e, np.searchsorted(self.end, e, side="left")
 
-    def hashes(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        """64-bit hashes of byte spans, from one prefix sum over the block."""
-        if self._prefix is None:
-            n = len(self.buf)
-            self._prefix = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(_BYTE[self.buf] * _power("p", _P, n), out=self._prefix[1:])
-        inv = _power("i", _P_INV, len(self.buf))
-        return mix((self._prefix[e] - self._prefix[s]) * inv[s] + (e - s).astype(np.uint64) * _BASE)
+    def hashes(self, s: np.ndarray, e: np.ndarray, seed: int = 0) -> np.ndarray:
+        """64-bit hashes of byte spans: 8 bytes after the other are taken in, each followed by a full scrambling, so that
+        no structure of the bytes (as it undoes polynomial hashes) makes two spans meet. Hashes of different seeds are
+        independent of each other."""
+        size = e - s
+        h = mix((size.astype(np.uint64) + _U(1 + (seed << 40))) * _BASE)
+        words = np.ndarray((len(self.buf),), dtype="<u8", buffer=self._padded, strides=(1,))
+        live = np.flatnonzero((size > 0) & (size <= 8 * LANES))
+        left, at = size[live], s[live]
+        while len(live):
+            h[live] = mix(h[live] ^ (words[at] & _MASK[np.minimum(left, 8)])) + _BASE
+            more = left > 8
+            live, left, at = live[more], left[more] - 8, at[more] + 8
+        raw, key = memoryview(self._padded), seed.to_bytes(8, "little")
+        for i in np.flatnonzero(size > 8 * LANES).tolist():
+            h[i] = int.from_bytes(blake2b(raw[int(s[i]) : int(e[i])], digest_size=8, key=key).digest(), "little")
+        return h
+
+
+def distinct(t: Texts, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the distinct spans, a second and independent hash of each, its first place, and the place of every span among them."""
+    key, check = t.hashes(s, e), t.hashes(s, e, 1)
+    keys, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+    if (check != check[first][inverse]).any():  # spans that share a key
+        keys, first, inverse = np.unique(mix(key ^ check), return_index=True, return_inverse=True)
+    return keys, check[first], first, inverse
 
 
 def raw_texts(col: pa.Array) -> list[bytes]:
@@ -201,9 +219,7 @@ def repeated_windows(h: np.ndarray, doc: np.ndarray, n: int, width: int) -> np.n
         return np.zeros(n, dtype=np.int64)
     i = np.minimum(np.searchsorted(twice, key), len(twice) - 1)
     at = at[twice[i] == key]
-    edge = np.zeros(len(h) + 1, dtype=np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + width, -1)
+    edge = np.bincount(at, minlength=len(h) + 1) - np.bincount(at + width, minlength=len(h) + 1)
     return np.bincount(doc[np.cumsum(edge[:-1]) > 0], minlength=n)
 
 
@@ -212,18 +228,16 @@ def base_statistics(t: Texts) -> dict[str, np.ndarray]:
     s, e, doc = t.spans(WORD)
     n_words = np.bincount(doc, minlength=t.n)
     h = t.hashes(s, e)
-    cont = CONT[t.buf]
+    cont = t.flags(CONT)
     ls, le, ldoc = t.lines()
-    seen = np.zeros(len(t.buf) + 1, dtype=np.int64)
-    np.cumsum(WORD[t.buf], out=seen[1:])
-    full = seen[le] > seen[ls]
+    full = np.searchsorted(s, le) > np.searchsorted(s, ls)  # lines with a word
     ls, le, ldoc = ls[full], le[full], ldoc[full]
     _, first = np.unique(mix(t.hashes(ls, le) + ldoc.astype(np.uint64) * _BASE), return_index=True)
     n_lines = np.bincount(ldoc, minlength=t.n)
     return {
         "n_words": n_words,
-        "word_chars": t.per_text(WORD[t.buf] & ~cont),
-        "n_symbols": t.per_text(SYMBOL[t.buf]),
+        "word_chars": t.per_text(t.flags(WORD) & ~cont),
+        "n_symbols": t.per_text(t.flags(SYMBOL)),
         "n_dup_lines": n_lines - np.bincount(ldoc[first], minlength=t.n),
         "n_repeat_words": repeated_windows(h, doc, t.n, 8),
         "n_lines": n_lines,
@@ -255,7 +269,7 @@ def features(t: Texts) -> tuple[dict[str, np.ndarray], np.ndarray]:
     cols = [
         np.log1p(b["n_words"]), b["n_symbols"] / chars, b["n_dup_lines"] / np.maximum(b["n_lines"], 1),
         b["n_repeat_words"] / words, b["n_distinct_words"] / words, np.minimum(b["word_chars"] / words, 50),
-        np.log1p(words / np.maximum(b["n_lines"], 1)), *(t.per_text(c[t.buf]) / chars for c in CLASSES.values()),
+        np.log1p(words / np.maximum(b["n_lines"], 1)), *(t.per_text(t.flags(c)) / chars for c in CLASSES.values()),
         np.log1p(b["n_chars"]),
     ]
     return b, np.stack([np.asarray(c, dtype=np.float64) for c in cols], axis=1)
