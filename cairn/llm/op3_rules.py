@@ -4,7 +4,7 @@ The base rules are fixed counts over whole texts; the trees decide on what passe
 TRAIN_ROWS labelled rows with monotonic constraints (more symbols, repeats or doubled lines never raise a score) and
 are then laid out as flat arrays, so that a batch is scored level by level with array look-ups.
 
-Defined cases: a null text counts as empty and fails the base rules; equal texts get equal verdicts and repeated
+Defined cases: a null text counts as empty and fails the base rules; of labelled rows that repeat an id one counts; equal texts get equal verdicts and repeated
 rows stay repeated; without labels of both kinds the trees keep all that passes the base rules; other columns of
 the input are not read. Every text is read whole, a block of texts at a time.
 """
@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import fold, labelled, read_table
+from cairn.llm.common import fold, labelled, one_of_id, read_table
 from cairn.llm.textnum import FEATURES, Texts, features, ragged, text_map
 
 TRAIN_ROWS = 6_000
@@ -121,7 +121,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, n: int, seed:
         x = features(t)[1]
         return {"x": ragged(x.ravel(), np.full(t.n, x.shape[1]))}
 
-    got = text_map(rows.withColumn(label, F.col(label).cast("int")), ["doc_id", label], "text", "x array<double>", fn).toArrow().sort_by("doc_id")
+    got = one_of_id(text_map(rows.withColumn(label, F.col(label).cast("int")), ["doc_id", label], "text", "x array<double>", fn)).toArrow().sort_by("doc_id")
     x = got["x"].combine_chunks().values.to_numpy().reshape(-1, len(FEATURES)) if got.num_rows else np.zeros((0, len(FEATURES)))
     return x, got[label].to_numpy().astype(float)
 
@@ -153,14 +153,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass; text and verdict leave one pass together, so nothing is shuffled."""
     forest = fit_rules(docs, read_table(spark, sf_dir, "labels"))
-    names = [c for c in docs.columns]
+    names = docs.columns
+    # renamed on the way in and out, lest the documents have a column of the verdict's name
+    inner = docs.toDF(*[f"d{i}" for i in range(len(names))])
 
     def fn(t: Texts) -> dict:
         b, x = features(t)
         failed = (b["n_words"] < 20) | (100 * b["n_repeat_words"] > 30 * b["n_words"])
-        return {"__kept": ~failed & (forest.score(x) >= KEEP_FROM)}
+        return {"kept": ~failed & (forest.score(x) >= KEEP_FROM)}
 
-    return text_map(docs, names, "text", "__kept boolean", fn).filter("__kept").select(*names)
+    return text_map(inner, inner.columns, f"d{names.index('text')}", "kept boolean", fn).filter("kept").select(*inner.columns).toDF(*names)
 
 
 QUERIES = {"op3_quality_rules": op3_quality_rules}
