@@ -3,12 +3,13 @@
 Law: `bytes`, shards of near-equal size. The range key is a hash of the text, so equal texts lie side by side and
 share a range. A sample of keys, drawn with probability in proportion to a row's share of bytes and rows, gives
 quantile boundaries of many small ranges; each range is then measured exactly, ranges that are overfull (one large
-group of equal texts) are subdivided by id, and runs of ranges make the shards. Nothing sorts or counts a whole
-shard in one task: slots come from a rank within a chunk of a range and
-the exact offsets of chunk and range.
+group of equal texts) are subdivided by a number that every row has of its own, and runs of ranges make the shards.
+Nothing sorts or counts a whole shard in one task: slots come from a rank within a chunk of a range and the exact
+offsets of chunk and range.
 
-Defined cases: a null text has size 1 and the crc32 of the empty text; equal rows and repeated or null ids each get
-a slot of their own; an empty table gives no rows. Texts are read once; what moves afterwards is about 40 bytes a row.
+Defined cases: a null text has size 1 and the crc32 of the empty text; ids of any type, equal rows and repeated or null
+ids each get a slot of their own, and any number of them is split like other rows; an empty table gives no rows. Texts
+are read once; what moves afterwards is about 48 bytes a row.
 """
 
 from __future__ import annotations
@@ -44,15 +45,16 @@ def shard(docs: DataFrame, n_shards: int = 8, ranges_per_shard: int = RANGES_PER
     spark = docs.sparkSession
     scratch = Scratch(spark, "shard")
     text = F.coalesce(F.col("text"), F.lit(""))
+    # the row's number is written with its key, and so stays with its row whatever is computed again
     keys = scratch.write(
-        docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text, F.lit(seed)).alias("key")),
+        docs.select("doc_id", F.monotonically_increasing_id().alias("row"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text, F.lit(seed)).alias("key")),
         "keys",
     )
     total, rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).head()
     parts = n_shards * ranges_per_shard
     # a row's weight: its share of the bytes and of the rows, half each, so that neither can fill a range unseen
     weight = F.col("size") / F.lit(2.0 * max(total, 1)) + F.lit(0.5 / max(rows, 1))
-    draw = F.pmod(F.xxhash64("doc_id", "key", F.lit(seed + 1)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    draw = F.pmod(F.xxhash64("row", "key", F.lit(seed + 1)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     sampled = keys.filter(draw < weight * sample_rows)
     quantiles = [i / parts for i in range(1, parts)]
     bounds = sorted(set(sampled.agg(F.percentile_approx("key", quantiles, 20 * parts)).head()[0] or []))
@@ -60,17 +62,17 @@ def shard(docs: DataFrame, n_shards: int = 8, ranges_per_shard: int = RANGES_PER
     bounds = sorted({b for b in bounds} | {b + 1 for b in bounds if b < (1 << 63) - 1})
     ranged = keys.withColumn("range", _range_of("key", bounds))
     measured = {r["range"]: (r["n"], r["b"]) for r in ranged.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()}
-    # overfull ranges: subdivided by quantiles of the id, from a mergeable sketch and so without gathering a group
+    # overfull ranges: subdivided by quantiles of the row number, from a mergeable sketch and so without gathering a group
     over = {k: max(n * parts // max(rows, 1), b * parts // max(total, 1)) + 1 for k, (n, b) in measured.items() if n * parts > 2 * rows or b * parts > 2 * total}
     ranged = ranged.withColumn("sub", F.lit(0))
     if over:
         cuts = {}
-        for r in ranged.filter(F.col("range").isin(list(over))).groupBy("range").agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts).alias("q")).collect():
+        for r in ranged.filter(F.col("range").isin(list(over))).groupBy("range").agg(F.percentile_approx("row", [i / parts for i in range(1, parts)], 20 * parts).alias("q")).collect():
             q, want = sorted(set(r["q"] or [])), min(parts, over[r["range"]])
             cuts[r["range"]] = q[:: max(1, len(q) // want)]
         sub = F.lit(0)
         for k, q in cuts.items():
-            sub = F.when(F.col("range") == k, _range_of("doc_id", q)).otherwise(sub)
+            sub = F.when(F.col("range") == k, _range_of("row", q)).otherwise(sub)
         ranged = ranged.withColumn("sub", F.coalesce(sub, F.lit(0)))
     ranged = ranged.withColumn("part", F.struct("range", "sub"))
     counted = sorted(ranged.groupBy("range", "sub").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect())
@@ -84,12 +86,12 @@ def shard(docs: DataFrame, n_shards: int = 8, ranges_per_shard: int = RANGES_PER
         slots[s] += r["n"]
     # one row for each range: at most a few times parts, whatever the input's size
     where = spark.createDataFrame(placed, "range int, sub int, shard int, slot0 long, chunks long")
-    dealt = ranged.join(F.broadcast(where), ["range", "sub"]).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "key", F.lit(seed + 2)), F.col("chunks")))
+    dealt = ranged.join(F.broadcast(where), ["range", "sub"]).withColumn("chunk", F.pmod(F.xxhash64("row", F.lit(seed + 2)), F.col("chunks")))
     # a range is ranked in chunks, which start where the chunks before them end
     ends = dealt.groupBy("range", "sub", "chunk").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("range", "sub").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     ends = ends.select("range", "sub", "chunk", F.coalesce(before, F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("range", "sub", "chunk").orderBy("key", "doc_id", "text_crc32")).cast("long")
+    rank = F.row_number().over(Window.partitionBy("range", "sub", "chunk").orderBy("key", "row")).cast("long")
     ranked = dealt.withColumn("rank", rank).join(ends, ["range", "sub", "chunk"])
     return ranked.select("doc_id", "size", "text_crc32", "shard", (F.col("slot0") + F.col("base") + F.col("rank") - 1).cast("long").alias("slot"))
 
