@@ -8,8 +8,10 @@ Defined cases: a null text counts as empty; an empty text has no spans and the s
 rows and copies get the same findings; null ids are kept; an empty table gives no rows; other columns are not read.
 Texts are read whole, and spans are code points with the end excluded.
 
-Only blob addresses are grouped, with map-side sums, and texts move once, by the id of the version to be scanned, so
-a blob that holds a third of all rows doesn't gather in one task.
+Only blob addresses are grouped, with map-side sums. If no more than FEW blobs are unseen their addresses go to where the
+texts are read, and nothing moves; else texts move once, by blob and the id of the version to be scanned, and rows that
+repeat an id and a text are reduced to one before they move, so a blob that holds a third of all rows doesn't gather in
+one task. Findings come back the same way: by broadcast up to FEW rows and FEW_BYTES, else by a join on salted blobs.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -42,6 +44,7 @@ KINDS = [r[0] for r in RULES]
 BASE_KINDS = 3
 RULE_VERSION = hashlib.sha256(repr([(k, p.pattern, p.flags, n, g) for k, p, n, g, _ in RULES]).encode()).hexdigest()[:16]
 HEX = table((48, 57), (97, 102))
+FEW, FEW_BYTES, SALTS = 50_000, 8 << 20, 16
 FINDINGS = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 NO_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -58,7 +61,7 @@ def find(text: str, kinds: range | list[int] = range(len(RULES))) -> list[tuple[
 def candidates(t: Texts) -> dict[int, list[int]]:
     """For each text that can have findings, the kinds to look for: a byte search that misses no match."""
     out: dict[int, list[int]] = {}
-    low = LOWER[t.buf].tobytes()
+    low = t.buf.tobytes().translate(LOWER.tobytes())
     for k, (_, _, least, _, needles) in enumerate(RULES):
         if needles is None:
             s, e, doc = t.spans(HEX)
@@ -79,9 +82,8 @@ def candidates(t: Texts) -> dict[int, list[int]]:
 def scan_block(t: Texts) -> dict:
     counts = np.zeros((BASE_KINDS, t.n), dtype=np.int64)
     sha, spans = [NO_SHA] * t.n, [""] * t.n
-    raw = t.buf.tobytes()
     for d, kinds in candidates(t).items():
-        found = find(raw[t.start[d] : t.end[d]].decode("utf-8", "replace"), kinds)
+        found = find(t.raw(d).decode("utf-8", "replace"), kinds)
         base = [x for x in found if x[1] < BASE_KINDS]
         for x in base:
             counts[x[1], d] += 1
@@ -109,24 +111,53 @@ class Ledger:
     def findings(self) -> DataFrame:
         return self._read("findings", f"blob binary, rule_version string, {FINDINGS}")
 
+    def update(self, versions: DataFrame, paths: DataFrame, rule_version: str, scratch: Scratch) -> DataFrame:
+        """Scan the blobs of versions (id, text, blob), whose addresses are paths (id, blob), that the ledger has not under
+        this rule version; returns (blob, findings) of all blobs that have any."""
+        at = F.xxhash64("id").alias("at")  # never null, unlike the id
+        done = self.blobs().filter(F.col("rule_version") == rule_version)
+        first = paths.groupBy("blob", at).agg(F.count("*").alias("n")).groupBy("blob").agg(F.min(F.struct("at", "n")).alias("v"))
+        unseen = scratch.write(first.join(done, "blob", "left_anti").select("blob", "v.at", "v.n"), "unseen")
+        rows, most = unseen.agg(F.count("*"), F.max("n")).head()
+        if rows:
+            texts, wanted = versions.select(at, "blob", "text"), unseen.select("at", "blob")
+            once = (lambda df: df) if most == 1 else (lambda df: df.dropDuplicates(["at", "blob"]))
+            if rows <= FEW:
+                texts = once(texts.join(F.broadcast(wanted), ["at", "blob"], "left_semi"))
+            else:
+                texts = once(texts).join(wanted.hint("shuffle_hash"), ["at", "blob"], "left_semi")
+            found = text_map(texts, ["blob"], "text", FINDINGS, scan_block).filter("spans <> ''").dropDuplicates(["blob"])
+            found.withColumn("rule_version", F.lit(rule_version)).select("blob", "rule_version", *FINDING_COLS).write.mode("append").parquet(f"{self.root}/findings")
+            # last, so that a run that broke off is repeated rather than trusted
+            unseen.select("blob", F.lit(rule_version).alias("rule_version")).write.mode("append").parquet(f"{self.root}/blobs")
+        # a retried run can leave a blob's findings twice
+        known = self.findings().filter(F.col("rule_version") == rule_version).drop("rule_version").dropDuplicates(["blob"])
+        return scratch.write(known, "known")
+
     def scan(self, versions: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
         """Scan what is unseen, add it to the ledger, and return (id, blob, findings) of every version."""
         scratch = Scratch(self.spark, "ledger")
-        text = F.coalesce(F.col(text_col), F.lit(""))
-        addressed = versions.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("blob"))
+        addressed = versions.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), address(text_col).alias("blob"))
         paths = scratch.write(addressed.select("id", "blob"), "paths")
-        at = F.xxhash64("id")  # never null, unlike the id
-        done = self.blobs().filter(F.col("rule_version") == rule_version)
-        unseen = scratch.write(paths.groupBy("blob").agg(F.min(at).alias("at")).join(done, "blob", "left_anti").select("blob", "at"), "unseen")
-        texts = addressed.withColumn("at", at).select("at", "blob", "text").join(unseen.hint("shuffle_hash"), ["at", "blob"], "left_semi")
-        found = text_map(texts, ["blob"], "text", FINDINGS, scan_block).filter("spans <> ''").dropDuplicates(["blob"])
-        found.withColumn("rule_version", F.lit(rule_version)).select("blob", "rule_version", *FINDING_COLS).write.mode("append").parquet(f"{self.root}/findings")
-        # last, so that a run that broke off is repeated rather than trusted
-        unseen.select("blob", F.lit(rule_version).alias("rule_version")).write.mode("append").parquet(f"{self.root}/blobs")
-        # a retried run can leave a blob's findings twice
-        known = self.findings().filter(F.col("rule_version") == rule_version).drop("rule_version").dropDuplicates(["blob"])
-        known = scratch.write(known, "known")
-        return paths.join(known, "blob", "left").withColumnRenamed("id", id_col)
+        return with_findings(paths, self.update(addressed, paths, rule_version, scratch)).withColumnRenamed("id", id_col)
+
+
+def text_of(col: str) -> Column:
+    return F.coalesce(F.col(col), F.lit(""))
+
+
+def address(col: str) -> Column:
+    return F.unhex(F.sha2(text_of(col).cast("binary"), 256))
+
+
+def with_findings(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (blob, ...) with the findings known of their blobs, null for those that have none."""
+    n, size = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("spans")), F.lit(0))).head()
+    if n <= FEW and size <= FEW_BYTES:
+        return rows.join(F.broadcast(known), "blob", "left")
+    salted = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    every = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(every, ["blob", "salt"], "left").drop("salt")
 
 
 FINDING_COLS = [f.split()[0] for f in FINDINGS.split(", ")]
@@ -170,18 +201,19 @@ def redact(rows: DataFrame, text_col: str, spans_col: str) -> DataFrame:
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced by `[secret]` (n_chars follows the text)."""
-    found = Scratch(spark, "secrets-stage")
-    ledger = Ledger(spark, found.path("ledger"))
-    hits = found.write(ledger.scan(docs.select("doc_id", "text")).filter("spans <> ''").select("doc_id", "blob", "spans"), "hits")
-    blob = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    keyed = docs.withColumn("__at", F.xxhash64("doc_id")).withColumn("__blob", blob)
-    hits = hits.select(F.xxhash64("doc_id").alias("__at"), F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__at", "__blob"])
-    rows = keyed.join(hits.hint("shuffle_hash"), ["__at", "__blob"], "left").withColumn("__spans", F.coalesce("__spans", F.lit("")))
-    out = redact(rows.select(*docs.columns, "__spans"), "text", "__spans")
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("__spans") != "", F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    names, scratch = docs.columns, Scratch(spark, "secrets-stage")
+    # renamed on the way in and out, lest the documents have columns of the names used here
+    inner = docs.toDF(*[f"d{i}" for i in range(len(names))])
+    text = f"d{names.index('text')}"
+    versions = inner.select(F.col(f"d{names.index('doc_id')}").alias("id"), text_of(text).alias("text"), address(text).alias("blob"))
+    paths = scratch.write(versions.select("id", "blob"), "paths")
+    known = Ledger(spark, scratch.path("ledger")).update(versions, paths, RULE_VERSION, scratch)
+    rows = with_findings(inner.withColumn("blob", address(text)), known.select("blob", "spans"))
+    out = redact(rows.select(*inner.columns, F.coalesce("spans", F.lit("")).alias("spans")), text, "spans")
+    if "n_chars" in names:
+        n = f"d{names.index('n_chars')}"
+        out = out.withColumn(n, F.when(F.col("spans") != "", F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n)))
+    return out.select(*inner.columns).toDF(*names)
 
 
 QUERIES = {"op4_secret_scans": op4_secret_scans}
