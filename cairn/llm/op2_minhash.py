@@ -1,16 +1,21 @@
 """Near-duplicates: consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
 
-1. Document frequencies of five-word shingles, over all documents, in DF_BUCKETS hashed counters.
+1. Document frequencies of five-word shingles, over all documents, in a sketch of SKETCH_ROWS rows of SKETCH counters: what
+   a counter holds beyond its row's mean load, the least of the rows. The load's spread falls against N as the corpus
+   grows, so the estimates get better with size. A shingle's weight is (1 + ln tf) * (1 + IDF * ln(1 + N / df) / ln(1 + N)):
+   between 1 + IDF for a shingle of one document and nearly 1 for one of all documents, at every N.
 2. One pass signs each text: improved consistent weighted sampling (Ioffe 2010) of its shingles by the weight that
    decides in 4, BANDS bands of ROWS samples, so that two texts share a sample as often as they are similar. A shingle's
-   random numbers come from a fixed table by hash, and ties go to the smaller shingle, so equal weights give equal
-   samples everywhere.
+   random numbers come from fixed tables by hash, a place of 2^DRAW_BITS and a fraction of it, and ties go to the smaller
+   shingle, so equal weights give equal samples everywhere.
 3. Exact copies (two 64-bit hashes of the text) are one node from here on: the copy with the smallest id.
 4. Nodes that share a band's key and a level of total weight are a bucket; each is compared with the bucket's smallest
-   id. The similarity is the weighted Jaccard of (1 + ln tf) * min(ln(1 + N / df), IDF_CAP); 0.8 or more makes a link.
-5. What that leaves open is settled exactly. In a bucket whose nodes are of several components, those outside its
-   largest component are compared with all its nodes of other components, in blocks: a task gets two packed blocks,
-   looks at a pair in its first common bucket alone, discards it by a bound from one matrix product, and returns links only.
+   id. The similarity is the weighted Jaccard similarity; 0.8 or more makes a link.
+5. What that leaves open is settled exactly. Nodes of a bucket with several components list their prefix: their rarest
+   shingles, up to 1 - 0.8 of their weight. Two texts of similarity 0.8 have their rarest common shingle in both prefixes,
+   so nodes of different components that share a prefix shingle are compared, if their total weights allow it. A shingle in
+   the prefixes of more than PAIRED nodes (texts that are mostly one common passage) is settled in packed blocks: a task
+   gets two, discards pairs by a bound from one matrix product, and returns links only.
 6. Components of the links are the classes, named by their smallest id.
 
 Defined cases: a null text counts as empty; texts without words are alike only if they are equal; texts of one to four
@@ -35,15 +40,16 @@ from cairn.llm.textnum import _BASE, WORD, Texts, blocks, mix, ragged, raw_texts
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
-DF_BUCKETS = 1 << 18
-IDF_CAP = float(np.log(4.0))
+SKETCH_ROWS, SKETCH, SLAB_SIZE = 2, 1 << 19, 1 << 13
+IDF = 0.5
+PAIRED = 32
 BLOCK_NODES, BLOCK_BYTES = 128, 4 << 20
 SLAB = 4_096
 SEED = 2
-TABLE_BITS = 13
+DRAW_BITS = 13  # texts with more shingles have equal draws among them: ties, which are broken the same way everywhere
 _U = np.uint64
 _LOW48 = _U((1 << 48) - 1)
-_TF = np.log(1 + np.log(np.maximum(np.arange(4096), 1))).astype(np.float32)  # ln of the tf part
+_TF = np.log(1 + np.log(np.maximum(np.arange(1 << 16), 1))).astype(np.float32)  # ln of the tf part; counts beyond are computed
 _random: list[tuple] = []
 
 
@@ -76,44 +82,98 @@ def shingles(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (both >> _U(48)).astype(np.int64), both & _LOW48, count
 
 
-def _bucket(shingle: np.ndarray) -> np.ndarray:
-    return (mix(shingle) & _U(DF_BUCKETS - 1)).astype(np.int64)
+def _places(shingle: np.ndarray) -> list[np.ndarray]:
+    """The shingles' counters in each row of the sketch."""
+    m = mix(shingle)
+    return [((m >> _U(32 * i)) & _U(SKETCH - 1)).astype(np.int64) for i in range(SKETCH_ROWS)]
+
+
+def ln_tf(count: np.ndarray) -> np.ndarray:
+    out = _TF[np.minimum(count, len(_TF) - 1)]
+    more = count >= len(_TF)
+    if more.any():
+        out[more] = np.log(1 + np.log(count[more])).astype(np.float32)
+    return out
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counters in as few bytes each as the largest needs, with that number before them."""
+    width = next(w for w in (1, 2, 4, 8) if int(counts.max()) < 1 << (8 * w - 1))
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
 def frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
-    """Hashed document frequencies and the number of texts with shingles. The driver gets DF_BUCKETS numbers."""
+    """The sketch of document frequencies (SKETCH_ROWS, SKETCH) and the number of texts with shingles.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(DF_BUCKETS + 1, dtype=np.int64)
+    Tasks send packed slabs of counters, which are summed slab by slab as they come in."""
+    slabs = SKETCH // SLAB_SIZE
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch, texts = np.zeros((SKETCH_ROWS, SKETCH), dtype=np.int64), 0
         for b in batches:
             for _, _, t in blocks(b.column(0)):
                 doc, sh, _ = shingles(t)
-                df[:DF_BUCKETS] += np.bincount(_bucket(sh), minlength=DF_BUCKETS)
-                df[DF_BUCKETS] += len(np.unique(doc))
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["bucket", "n"])
+                for row, place in zip(sketch, _places(sh), strict=True):
+                    row += np.bincount(place, minlength=SKETCH)
+                texts += int((np.diff(doc, prepend=-1) > 0).sum())
+        parts = sketch.reshape(SKETCH_ROWS * slabs, SLAB_SIZE)
+        some = np.flatnonzero(parts.any(axis=1)).tolist()
+        rows = [(i, _packed(parts[i])) for i in some] + [(-1, _packed(np.array([texts])))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["slab", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for slab, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                total[slab] = total.get(slab, 0) + _unpacked(raw.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([_packed(c) for c in total.values()], pa.binary())], names=["slab", "counts"])
+
+    schema = "slab int, counts binary"
+    got = docs.select(text_col).mapInArrow(count, schema).repartition("slab").mapInArrow(add, schema).toArrow()
+    sketch, n = np.zeros((SKETCH_ROWS * slabs, SLAB_SIZE), dtype=np.int64), 0
+    for slab, raw in zip(got["slab"].to_pylist(), got["counts"].to_pylist(), strict=True):
+        if slab < 0:
+            n += int(_unpacked(raw)[0])
+        else:
+            sketch[slab] += _unpacked(raw)
+    return sketch.reshape(SKETCH_ROWS, SKETCH), n
+
+
+class Weights:
+    """The idf part of the shingles' weights."""
 
-    got = docs.select(text_col).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(DF_BUCKETS + 1, dtype=np.int64)
-    df[got["bucket"].to_numpy()] = got["n"].to_numpy()
-    return df[:DF_BUCKETS], int(df[DF_BUCKETS])
+    def __init__(self, sketch: np.ndarray, n: int, idf: float = IDF):
+        load = (sketch.sum(axis=1, keepdims=True) - sketch) / (SKETCH - 1)
+        df = np.clip(sketch - load, 1, max(n, 1))
+        # logarithms come from the driver's table, so that they are the same in every task
+        self.table = np.log(1 + idf * np.log1p(max(n, 1) / df) / np.log1p(max(n, 1))).astype(np.float32)
 
+    def ln(self, shingle: np.ndarray) -> np.ndarray:
+        """Of the rows' estimates the least frequency counts, which is the largest weight."""
+        out, *rest = (row[p] for row, p in zip(self.table, _places(shingle), strict=True))
+        for x in rest:
+            out = np.maximum(out, x)
+        return out
 
-def idf(df: np.ndarray, n: int) -> np.ndarray:
-    return np.log1p(max(n, 1) / np.maximum(df, 1)).astype(np.float32)
+    def of(self, shingle: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return np.exp((ln_tf(count) + self.ln(shingle)).astype(np.float64))
 
 
 def _draws() -> list[tuple]:
     """For each sample: hash multiplier, and by table place r ~ Gamma(2, 1), ln c with c ~ Gamma(2, 1), beta ~ U(0, 1)."""
     if not _random:
         for k in range(BANDS * ROWS):
-            u = [uniform(stream(10_000 * SEED + 10 * k + i, 1 << TABLE_BITS)) for i in range(5)]
+            u = [uniform(stream(10_000 * SEED + 10 * k + i, 1 << DRAW_BITS)) for i in range(5)]
             r, c = -np.log(u[0] * u[1]), -np.log(u[2] * u[3])
             _random.append((stream(777 + k, 1)[0] | _U(1), r.astype(np.float32), np.log(c).astype(np.float32), u[4].astype(np.float32)))
     return _random
 
 
-def signatures(t: Texts, ln_weight: np.ndarray, capped: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(t: Texts, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
     """Band keys of the texts in a row, and their number by text (none for a text without words).
 
     Similar texts have similar total weights: their ratio is no less than the similarity. So each band's key is given
@@ -124,14 +184,14 @@ def signatures(t: Texts, ln_weight: np.ndarray, capped: np.ndarray) -> tuple[np.
     n_keys = np.zeros(t.n, dtype=np.int64)
     if not len(doc):
         return np.zeros(0, dtype=np.int64), n_keys
-    weight = _TF[np.minimum(count, len(_TF) - 1)] + ln_weight[_bucket(sh)]  # both from tables: the same in every task
+    weight = ln_tf(count) + weights.ln(sh)
     head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
     size = np.diff(np.append(head, len(doc)))
     own = np.repeat(np.arange(len(head)), size)
     base = mix(sh)
     keys = np.empty((len(head), BANDS), dtype=np.uint64)
     for k, (mult, r_all, lc_all, beta_all) in enumerate(_draws()):
-        place = ((base * mult) >> _U(64 - TABLE_BITS)).astype(np.int32)
+        place = ((base * mult) >> _U(64 - DRAW_BITS)).astype(np.int32)
         r, beta = r_all[place], beta_all[place]
         step = np.floor(weight / r + beta)
         rank = lc_all[place] - r * (step - beta + np.float32(1))
@@ -141,19 +201,19 @@ def signatures(t: Texts, ln_weight: np.ndarray, capped: np.ndarray) -> tuple[np.
         sample = mix(sh[at] * _BASE + (step[at].astype(np.int64) + (1 << 20)).astype(np.uint64) + (_U(k) << _U(40)))
         band = k // ROWS
         keys[:, band] = sample if k % ROWS == 0 else mix(keys[:, band] * _BASE + sample)
-    total = np.add.reduceat(np.exp(_TF[np.minimum(count, len(_TF) - 1)].astype(np.float64)) * capped[_bucket(sh)], head)
+    total = np.add.reduceat(np.exp(weight.astype(np.float64)), head)
     level = np.floor(np.log(total) / (-np.log(SIMILARITY) * (1 + 1e-6))).astype(np.int64) + 1_000
     both = [mix(keys + (level + i).astype(np.uint64)[:, None] * _BASE) for i in (0, 1)]
     n_keys[doc[head]] = 2 * BANDS
     return np.concatenate(both, axis=1).ravel().astype(np.int64), n_keys
 
 
-def similarities(a: Texts, b: Texts, capped: np.ndarray) -> np.ndarray:
+def similarities(a: Texts, b: Texts, weights: Weights) -> np.ndarray:
     """Weighted Jaccard similarity of the texts of two blocks, row by row."""
     out = []
     for t in (a, b):
         doc, sh, count = shingles(t)
-        w = np.exp(_TF[np.minimum(count, len(_TF) - 1)].astype(np.float64)) * capped[_bucket(sh)]
+        w = weights.of(sh, count)
         out.append(((doc.astype(np.uint64) << _U(48)) | sh, w, np.bincount(doc, w, minlength=t.n)))
     (ka, wa, ta), (kb, wb, tb) = out
     _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
@@ -161,7 +221,7 @@ def similarities(a: Texts, b: Texts, capped: np.ndarray) -> np.ndarray:
     return both / np.maximum(ta + tb - both, 1e-12)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, capped: np.ndarray) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
     """(id, pivot, sim) of pairs (id, pivot)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +229,7 @@ def verify(pairs: DataFrame, texts: DataFrame, capped: np.ndarray) -> DataFrame:
             for lo, hi, left in blocks(b.column(2)):
                 for i, j, right in blocks(b.column(3).slice(lo, hi - lo)):
                     part = left if j - i == hi - lo else Texts(raw_texts(b.column(2).slice(lo + i, j - i)))
-                    sim = similarities(part, right, capped)
+                    sim = similarities(part, right, weights)
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(lo + i, j - i), b.column(1).slice(lo + i, j - i), pa.array(sim)], names=["id", "pivot", "sim"])
 
     texts = texts.select("id", "text")
@@ -185,12 +245,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     scratch = Scratch(spark, "minhash")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    df, n = frequencies(rows)
-    capped = np.minimum(idf(df, n), np.float32(IDF_CAP))
-    ln_weight = np.log(capped)
+    weights = Weights(*frequencies(rows))
 
     def sign(t: Texts) -> dict:
-        keys, count = signatures(t, ln_weight, capped)
+        keys, count = signatures(t, weights)
         return {"bands": ragged(keys, count)}
 
     hashed = rows.select("id", "text", F.xxhash64("text", F.lit(1)).alias("h1"), F.xxhash64("text", F.lit(2)).alias("h2"))
@@ -205,75 +263,98 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     pivots = scratch.write(pivots, "pivots")
     members = scratch.write(banded.join(pivots, "key").filter("id <> pivot").distinct(), "members")
     involved = members.select("id").unionByName(members.select(F.col("pivot").alias("id"))).distinct()
-    keys = mapped.filter("bands IS NOT NULL").select("id", "bands").join(involved, "id", "left_semi")
-    texts = scratch.write(rows.join(keys.hint("shuffle_hash"), "id"), "texts")
-    known = _judged(members.select("id", "pivot").distinct(), texts, capped, scratch)
+    texts = scratch.write(rows.join(mapped.filter("bands IS NOT NULL").select("id").join(involved, "id", "left_semi").hint("shuffle_hash"), "id"), "texts")
+    known = _judged(members.select("id", "pivot").distinct(), texts, weights, scratch)
     # components of the first links tell what is settled already; later links only add to that
     label = scratch.write(components(_links(known, similarity), scratch, "graph-first"), "label-first")
-    found = scratch.write(_left_open(members, pivots, label, texts, capped, similarity), "found")
+    found = scratch.write(_left_open(members, pivots, label, texts, weights, similarity, scratch), "found")
     if not found.isEmpty():
         links = _links(known, similarity).unionByName(found)
         label = scratch.write(components(links, scratch, "graph"), "label")
+    scratch.drop("pivots", "members", "texts", "judged", "open", "prefixes", "found")
     return mapped.join(label.withColumnRenamed("id", "node"), "node", "left").select(F.col("id").alias(id_col), F.coalesce("component", "node").alias("class_id"))
 
 
-def _judged(pairs: DataFrame, texts: DataFrame, capped: np.ndarray, scratch: Scratch) -> DataFrame:
+def _judged(pairs: DataFrame, texts: DataFrame, weights: Weights, scratch: Scratch) -> DataFrame:
     """Pairs with their similarity; where rows repeat an id, the largest of its texts'."""
-    return scratch.write(verify(pairs, texts, capped).groupBy("id", "pivot").agg(F.max("sim").alias("sim")), "judged")
+    return scratch.write(verify(pairs, texts, weights).groupBy("id", "pivot").agg(F.max("sim").alias("sim")), "judged")
 
 
 def _links(judged: DataFrame, similarity: float) -> DataFrame:
     return judged.filter(F.col("sim") >= similarity).select(F.col("id").alias("u"), F.col("pivot").alias("v"))
 
 
-def _blocks(nodes: DataFrame, texts: DataFrame, side: str) -> DataFrame:
-    """The nodes (key, id, c) of each bucket as blocks of about BLOCK_NODES rows and BLOCK_BYTES bytes."""
-    full = nodes.join(texts, "id")
-    size = nodes.join(texts.select("id", F.octet_length("text").alias("bytes")), "id").groupBy("key").agg(
-        F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("bytes") / BLOCK_BYTES)).cast("long").alias("parts")
-    )
-    dealt = full.join(size, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    return dealt.groupBy("key", "part").agg(F.collect_list(F.struct("id", "c", "text", "bands")).alias(side)).drop("part")
+def _prefixes(nodes: DataFrame, weights: Weights, similarity: float) -> DataFrame:
+    """(id, c, total, shingle) of the prefix of each node (id, c, text): its rarest shingles, up to where the rest weighs
+    less than the similarity's part of the total."""
 
-
-def _left_open(members: DataFrame, pivots: DataFrame, label: DataFrame, texts: DataFrame, capped: np.ndarray, similarity: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, t in blocks(b.column(2)):
+                doc, sh, count = shingles(t)
+                idf, w = weights.ln(sh), weights.of(sh, count)
+                order = np.lexsort((sh, -idf, doc))
+                doc, sh, w = doc[order], sh[order], w[order]
+                total = np.bincount(doc, w, minlength=t.n)
+                before = np.cumsum(w) - w
+                before -= before[np.searchsorted(doc, doc)]
+                at = np.flatnonzero(before <= (1 - similarity + 1e-6) * total[doc])
+                ids, comps = (b.column(i).slice(lo, hi - lo).take(pa.array(doc[at])) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([ids, comps, pa.array(total[doc[at]]), pa.array(sh[at].astype(np.int64))], names=["id", "c", "total", "shingle"])
+
+    return nodes.select("id", "c", "text").mapInArrow(run, "id long, c long, total double, shingle long")
+
+
+def _left_open(members: DataFrame, pivots: DataFrame, label: DataFrame, texts: DataFrame, weights: Weights, similarity: float, scratch: Scratch) -> DataFrame:
     """Links (u, v) between nodes of one bucket that the first comparisons left in different components."""
     nodes = members.select("key", "id").unionByName(pivots.select("key", F.col("pivot").alias("id")))
     nodes = _with_component(nodes, label, "id", "c")
-    sizes = nodes.groupBy("key", "c").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.count("*").alias("components"), F.max_by("c", F.struct("n", "c")).alias("main")).filter("components > 1").select("key", "main")
-    nodes = nodes.join(main, "key")
-    outside = _blocks(nodes.filter("c <> main").select("key", "id", "c"), texts, "a")
-    every = _blocks(nodes.select("key", "id", "c"), texts, "b")
+    several = nodes.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
+    ids = nodes.join(several, "key", "left_semi").select("id", "c").distinct()
+    opened = scratch.write(texts.select("id", "text").join(ids.hint("shuffle_hash"), "id"), "open")
+    prefixes = scratch.write(_prefixes(opened, weights, similarity), "prefixes")
+    sizes = prefixes.groupBy("shingle").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
+    few = prefixes.join(sizes.filter(F.col("n") <= PAIRED).select("shingle"), "shingle")
+    right = few.select("shingle", F.col("id").alias("pivot"), F.col("c").alias("c2"), F.col("total").alias("total2"))
+    pairs = few.join(right, "shingle").filter((F.col("id") > F.col("pivot")) & (F.col("c") != F.col("c2")) & (F.least("total", "total2") >= F.greatest("total", "total2") * (similarity - 1e-6)))
+    near = verify(pairs.select("id", "pivot").distinct(), opened, weights).filter(F.col("sim") >= similarity).select(F.col("id").alias("u"), F.col("pivot").alias("v"))
+    many = prefixes.join(sizes.filter(F.col("n") > PAIRED).select("shingle"), "shingle")
+    return near.unionByName(_settled(many, opened, weights, similarity)).distinct()
+
+
+def _settled(many: DataFrame, opened: DataFrame, weights: Weights, similarity: float) -> DataFrame:
+    """Links between the nodes (shingle, id, c) of each shingle, but for those within its largest component, in blocks of
+    about BLOCK_NODES nodes and BLOCK_BYTES bytes."""
+    sizes = many.groupBy("shingle", "c").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("shingle").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
+    full = many.select("shingle", "id", "c").join(opened.select("id", "text"), "id").join(main, "shingle")
+
+    def packed(rows: DataFrame, side: str) -> DataFrame:
+        parts = F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("long")
+        dealt = rows.join(rows.groupBy("shingle").agg(parts.alias("parts")), "shingle").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+        return dealt.groupBy("shingle", "part").agg(F.collect_list(F.struct("id", "c", "text")).alias(side)).drop("part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                one = batch.slice(r, 1)
-                u, v = linked(one.column(0)[0].as_py(), one.column(1)[0].as_py(), one.column(2)[0].as_py(), capped, similarity)
+                u, v = linked(batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), weights, similarity)
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return outside.join(every, "key").select("key", "a", "b").mapInArrow(run, "u long, v long").distinct()
+    pairs = packed(full.filter("c <> main"), "a").join(packed(full, "b"), "shingle").select("a", "b")
+    return pairs.mapInArrow(run, "u long, v long")
 
 
-def linked(key: int, a: list[dict], b: list[dict], capped: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of two blocks of one bucket, of different components and with this key as their least common one."""
+def linked(a: list[dict], b: list[dict], weights: Weights, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of two blocks, of different components."""
     ids, comps = (np.array([x[k] for x in a + b], dtype=np.int64) for k in ("id", "c"))
-    bands = np.array([x["bands"] for x in a + b], dtype=np.int64)
-    n, top = len(a), np.iinfo(np.int64).max
-    least = np.full((n, len(b)), top)
-    for i in (0, 1):
-        for j in (0, 1):  # a text's own level may be the other's next one
-            for k in range(BANDS):
-                left, right = bands[:n, i * BANDS + k][:, None], bands[n:, j * BANDS + k]
-                np.minimum(least, np.where(left == right, left, top), out=least)
-    want = (least == key) & (comps[:n, None] != comps[n:])
+    n = len(a)
+    want = comps[:n, None] != comps[n:]
     if not want.any():
         return ids[:0], ids[:0]
     t = Texts([x["text"].encode() for x in a + b])
     doc, sh, count = shingles(t)
-    w = np.exp(_TF[np.minimum(count, len(_TF) - 1)].astype(np.float64)) * capped[_bucket(sh)]
+    w = weights.of(sh, count)
     total = np.bincount(doc, w, minlength=t.n)
     uniq, inverse, times = np.unique(sh, return_inverse=True, return_counts=True)
     place = np.cumsum(times > 1) - 1
@@ -293,7 +374,7 @@ def linked(key: int, a: list[dict], b: list[dict], capped: np.ndarray, similarit
     for lo in range(0, len(x), 256):
         i, j = x[lo : lo + 256], y[lo : lo + 256]
         left, right = (Texts([side[k]["text"].encode() for k in rows.tolist()]) for side, rows in ((a, i), (b, j)))
-        keep.append(similarities(left, right, capped) >= similarity)
+        keep.append(similarities(left, right, weights) >= similarity)
     ok = np.concatenate(keep) if keep else np.zeros(0, dtype=bool)
     return ids[x[ok]], ids[n + y[ok]]
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 WORDS = ["".join(random.Random(i).choices(["ka", "lo", "mi", "ter", "von", "sa", "ri", "be"], k=3)) for i in range(400)]
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
 #: names that operators use inside or return
-CLASHES = ["score", "kept", "ids", "key", "n", "spans", "severity", "toxic", "size", "shard", "row", "bands", "id", "blob", "start", "h1"]
+CLASHES = ["score", "kept", "ids", "key", "n", "spans", "severity", "toxic", "size", "shard", "row", "bands", "id", "blob", "start", "h1", "d0", "d1", "__spans", "__kept", "__row", "windows", "at", "salt"]
 
 
 def prose(seed, n):

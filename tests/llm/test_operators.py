@@ -148,6 +148,19 @@ def test_op4_ledger_scans_the_unseen_only(spark):
     assert ledger.blobs().filter("rule_version = 'next'").count() == len(SECRETS)
 
 
+def test_op4_rows_that_repeat_an_id_and_a_text(spark, monkeypatch):
+    rows = [(None, SECRETS[0])] * 50 + [(1, SECRETS[1])] * 20 + [(2, SECRETS[0]), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = []
+    for few in (50_000, 0):  # by broadcast, and by the joins for many
+        monkeypatch.setattr(op4_secrets, "FEW", few)
+        ledger = op4_secrets.Ledger(spark, Scratch(spark, "test").root)
+        got.append(sorted((str(r["doc_id"]), r["spans"] or "") for r in table(ledger.scan(docs))))
+        assert ledger.blobs().count() == 3
+    want = sorted((str(i), op4_secrets.scan_block(Texts([(x or "").encode()]))["spans"][0].as_py()) for i, x in rows)
+    assert got == [want, want]
+
+
 def test_op5_toxic(spark, corpus, labels):
     rows = {r["doc_id"]: r for r in table(op5_toxicity.op5_toxicity(spark, corpus))}
     held = [(rows[i]["toxic"], x["toxic"]) for i, x in labels.items() if crc(i) % 4 == 2]
@@ -167,7 +180,7 @@ def test_op6_posteriors_are_forward_backward():
     r = np.random.default_rng(0)
     emit, trans, first = r.normal(size=(700, 3)), r.normal(size=(3, 3)), r.normal(size=3)
     doc = np.sort(r.choice([0, 1, 2, 3, 4], 700, p=[0.02, 0.28, 0.5, 0.1, 0.1]))
-    got = op6_language.posteriors(emit, doc, trans, first)
+    got, forward = op6_language.posteriors(emit, doc, trans, first)
     for c in range(5):
         e, a = np.exp(emit[doc == c]), np.exp(trans)
         alpha, beta = np.zeros_like(e), np.ones_like(e)
@@ -179,14 +192,14 @@ def test_op6_posteriors_are_forward_backward():
             beta[t] = a @ (e[t + 1] * beta[t + 1])
             beta[t] /= beta[t].sum()
         want = alpha * beta
+        assert np.allclose(forward[doc == c], alpha / alpha.sum(axis=1, keepdims=True))
         assert np.allclose(got[doc == c], want / want.sum(axis=1, keepdims=True))
 
 
 def test_op6_held_out_and_code_switching(spark, corpus, docs):
     d = spark.read.parquet(f"{corpus}/documents.parquet")
     lang = {r["doc_id"]: r["lang"] for r in table(d.select("doc_id", "lang"))}
-    texts, langs = op6_language.training_texts(d, 600)
-    model = op6_language.fit_crf(texts, langs, n_seq=1000, steps=15)
+    model = op6_language.fit_crf(*op6_language.training_windows(d, 600), n_seq=1000, steps=15)
     rows = table(op6_language.identify(d, model))
     assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in rows if crc(r["doc_id"]) % 5 == 0]) > 0.98
     a, b = (next(t for i, t in docs.items() if lang[i] == x and len(t.split()) > 80).split()[:60] for x in ("de", "es"))
@@ -213,11 +226,62 @@ def brute_top(rows, every=50, k=5):
 def test_op6_drops_no_language(spark):
     def learnt(n):
         rows = [(i, f"text {i}", f"l{i % n:02}") for i in range(8 * n)]
-        return set(op6_language.training_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"))[1])
-
-    assert len(learnt(5)) == 5
-    with pytest.raises(ValueError, match="64"):
-        learnt(65)
+        return set(op6_language.training_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=70)[1])
+
+    assert len(learnt(5)) == 5 and len(learnt(70)) == 70
+    with pytest.raises(ValueError, match="70"):
+        learnt(71)
+
+
+def test_op6_gradient_is_that_of_the_likelihood():
+    import itertools
+
+    r = np.random.default_rng(4)
+    w = op6_language.words_of(Texts([b"la le li", b"lo lu la lo li"]))
+    k, seq, chain, y = 3, w.of, w.doc, r.integers(0, 3, len(w.of))
+    lexicon = w.lex[[0, 2]]
+    model = op6_language.Crf(["a", "b", "c"], r.normal(size=(op6_language.BUCKETS + 1, k)), lexicon, r.normal(size=(2, k)), r.normal(size=(k, k)), r.normal(size=k))
+    model.gram[-1] = 0
+
+    def likelihood():
+        emit, total = model.emissions(w)[seq], 0.0
+        for c in np.unique(chain):
+            e = emit[chain == c]
+            score = lambda ys, e=e: model.first[ys[0]] + sum(e[i, v] for i, v in enumerate(ys)) + sum(model.trans[a, b] for a, b in itertools.pairwise(ys))
+            every = np.array([score(ys) for ys in itertools.product(range(k), repeat=len(e))])
+            total += score(tuple(y[chain == c])) - np.log(np.exp(every - every.max()).sum()) - every.max()
+        return total
+
+    found = op6_language.gradients(model, w, seq, chain, y)
+    places = [(0, (int(w.grams[1, 2]), 1)), (0, (int(w.grams[0, 4]), 2)), *((1, (i, 1)) for i in range(2)), *((2, (i, j)) for i in range(k) for j in range(k)), *((3, (i,)) for i in range(k))]
+    for n, at in places:
+        par, step = (model.gram, model.lex_weight, model.trans, model.first)[n], 1e-5
+        par[at] += step
+        up = likelihood()
+        par[at] -= 2 * step
+        slope = (up - likelihood()) / (2 * step)
+        par[at] += step
+        assert abs(slope - found[n][at]) < 1e-6
+
+
+def test_op6_long_text_in_pieces(monkeypatch):
+    model = op6_language.fit_crf([prose(i, 24).encode() for i in range(30)] + [prose(i, 24).upper().encode()[::-1] for i in range(30)], ["a"] * 30 + ["b"] * 30, n_seq=50, steps=3)
+    t = Texts([prose(3, 3000).encode()])
+    whole = op6_language.label_words(t, model)
+    monkeypatch.setattr(op6_language, "BLOCK", 500)
+    parts = op6_language.label_words(t, model)
+    assert (whole[0] == parts[0]).all() and np.allclose(whole[1], parts[1])
+
+
+def test_training_samples_are_bounded_where_ids_repeat(spark):
+    rows = [(i % 20, prose(i % 40, 30), "ab"[i % 2]) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i % 20, i // 20 % 2, i // 20 % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    x, y = op3_rules.training_rows(docs, labels, "quality", 10, 1, 4, 2)
+    assert len(x) == len(y) == 10
+    windows, _ = op6_language.training_windows(docs, 10)
+    assert 0 < len(windows) <= 10 * op6_language.WINDOWS
+    assert op5_toxicity.fit_toxicity(docs, labels, 10) is not None
 
 
 def test_op7_edges(spark, edge):
@@ -257,13 +321,19 @@ def test_op8_chunks_of_a_range(spark, corpus, monkeypatch):
     assert len(by) == 8 and all(sorted(s) == list(range(len(s))) for s in by.values())
 
 
-def test_op8_hot_text_is_subdivided(spark):
-    rows = [(i, "same" * 50 if i % 3 == 0 else prose(i, 30)) for i in range(6000)]
-    out = table(op8_sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")))
+@pytest.mark.parametrize("key", ["id", "null", "one", "text"])
+def test_op8_hot_text_is_subdivided(spark, key):
+    who = {"id": lambda i: i, "null": lambda i: None if i % 2 else i, "one": lambda i: 7, "text": lambda i: f"d{i % 5}"}[key]
+    rows = [(who(i), "same" * 50 if i % 2 else prose(i, 30)) for i in range(6000)]
+    out = table(op8_sharding.shard(spark.createDataFrame(rows, f"doc_id {'string' if key == 'text' else 'long'}, text string").repartition(3)))
+    slots = defaultdict(list)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     sizes = Counter()
     for r in out:
         sizes[r["shard"]] += r["size"]
-    assert len(sizes) == 8 and max(sizes.values()) < 1.1 * sum(sizes.values()) / 8
+    assert len(sizes) == 8 and max(sizes.values()) < 1.06 * sum(sizes.values()) / 8
 
 
 def test_op9_pieces(spark, edge):
@@ -295,6 +365,40 @@ def test_op9_pieces(spark, edge):
     assert sorted(seqs) == list(range(len(seqs)))
 
 
+def twins(steps=10):
+    """Two words that agree in every polynomial hash modulo 2^64 (Thue and Morse)."""
+    word = "a"
+    for _ in range(steps):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomial_hashes_take_for_one(spark):
+    a, b = twins()
+    b_stats = base_statistics(Texts([f"{a} x\n{b} x\n{a} x".encode()]))
+    assert (int(b_stats["n_dup_lines"][0]), int(b_stats["n_distinct_words"][0])) == (1, 3)
+    model = op9_packing.tokenizer(op9_packing.vocabulary())
+    for text in (f"{a} {b}", b, a):
+        assert model.encode(Texts([text.encode()]))[0].tolist() == [*model.model.encode(text, add_special_tokens=False).ids, 2]
+    docs = spark.createDataFrame([(1, a), (2, b), (3, f"{a} {b} {a}")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in table(op10_sentencepiece.decode(op10_sentencepiece.encode(docs, PIECES), PIECES))} == {1: a, 2: b, 3: f"{a} {b} {a}"}
+
+
+def test_spans_that_share_a_key_are_told_apart(monkeypatch):
+    import cairn.llm.textnum as textnum
+
+    whole = Texts.hashes
+    monkeypatch.setattr(Texts, "hashes", lambda self, s, e, seed=0: whole(self, s, e, seed) if seed else whole(self, s, e) % np.uint64(3))
+    t = Texts([b"one two three four five one two"])
+    s, e, _ = t.spans(textnum.WORD)
+    _, _, first, of = textnum.distinct(t, s, e)
+    raw = t.buf.tobytes()
+    words = [raw[i:j] for i, j in zip(s, e, strict=True)]
+    assert [words[first[k]] for k in of] == words
+    model = op9_packing.WordTokens(op9_packing.vocabulary())
+    assert model.encode(t)[0].tolist() == [*model.model.encode("one two three four five one two", add_special_tokens=False).ids, 2]
+
+
 def test_op9_curve_and_words():
     cells = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     key = op9_packing.hilbert(cells, 3)
@@ -375,10 +479,6 @@ def test_op10_heap_is_the_matrix(docs, monkeypatch):
     assert a.tolist() == b.tolist() and n.tolist() == m.tolist()
 
 
-def weights(capped, sh, count):
-    return np.exp(op2_minhash._TF[np.minimum(count, 4095)].astype(float)) * capped[op2_minhash._bucket(sh)]
-
-
 def brute_classes(rows):
     """Classes by exact weighted similarity of all pairs."""
     texts = {}
@@ -387,10 +487,15 @@ def brute_classes(rows):
     t = Texts([x.encode() for x in texts])
     doc, sh, count = op2_minhash.shingles(t)
     copies = np.array([len(v) for v in texts.values()])
-    df = np.bincount(op2_minhash._bucket(sh), copies[doc], minlength=op2_minhash.DF_BUCKETS).astype(np.int64)
     n = int(copies[np.unique(doc)].sum())
-    capped = np.minimum(op2_minhash.idf(df, n), np.float32(op2_minhash.IDF_CAP))
-    bags = [dict(zip(sh[doc == i].tolist(), weights(capped, sh[doc == i], count[doc == i]), strict=True)) for i in range(len(texts))]
+    df = Counter()
+    for d, x in zip(doc.tolist(), sh.tolist(), strict=True):
+        df[x] += int(copies[d])
+
+    def weight(x, c):
+        return (1 + np.log(c)) * (1 + op2_minhash.IDF * np.log1p(n / df[x]) / np.log1p(n))
+
+    bags = [{x: weight(x, c) for x, c in zip(sh[doc == i].tolist(), count[doc == i].tolist(), strict=True)} for i in range(len(texts))]
     parent = list(range(len(texts)))
 
     def root(i):
@@ -434,13 +539,15 @@ def test_op2_against_all_pairs(spark):
     assert len({got[400 + i] for i in range(12)}) == 1 and got[100] == 100 and got[101] == 101 and got[501] == 500
 
 
-def test_op2_finds_near_copies_in_a_group_of_a_third(spark):
-    rows = [(0, prose(1, 400))] + [(1 + i, edited(prose(1, 400), i, 8)) for i in range(80)]  # a tenth of the shingles is new: 0.8 of the first alone
+@pytest.mark.parametrize("edits", [6, 8])
+def test_op2_finds_near_copies_in_a_group_of_a_third(spark, edits):
+    # the group's shingles weigh less than each copy's own ones: of plain similarity 0.86 all are linked, of 0.82 not all
+    rows = [(0, prose(1, 400))] + [(1 + i, edited(prose(1, 400), i, edits)) for i in range(80)]
     rows += [(1000 + i, prose(2000 + i, 60)) for i in range(162)]
     got = {r["doc_id"]: r["class_id"] for r in table(op2_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")))}
     want = brute_classes(rows)
-    assert sum(want[i] == 0 for i in range(81)) == 81
     assert got == want
+    assert edits > 6 or sum(want[i] == 0 for i in range(81)) == 81
 
 
 def test_op2_stage_keeps_a_row_of_each_class_whatever_its_id(spark):
@@ -462,8 +569,31 @@ def test_op2_components(spark):
 def test_op2_samples_estimate_similarity():
     a, b = prose(1, 400), edited(prose(1, 400), 3, 8)
     t = Texts([a.encode(), b.encode()])
-    w = op2_minhash.idf(np.full(op2_minhash.DF_BUCKETS, 1), 1000)
-    keys, count = op2_minhash.signatures(t, np.log(w), np.minimum(w, np.float32(1)))
+    w = op2_minhash.Weights(np.ones((op2_minhash.SKETCH_ROWS, op2_minhash.SKETCH), dtype=np.int64), 1000)
+    keys, count = op2_minhash.signatures(t, w)
     same = set(keys[: count[0]]) & set(keys[count[0] :])
     sim = op2_minhash.similarities(Texts([a.encode()]), Texts([b.encode()]), w)[0]
     assert len(same) >= 3 and 0.7 < sim < 0.95
+
+
+def test_op2_frequencies(spark):
+    common = prose(1, 30)
+    rows = [(i, f"{prose(100 + i, 40)} {common}") for i in range(300)]
+    sketch, n = op2_minhash.frequencies(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
+    w = op2_minhash.Weights(sketch, n)
+    _, rare, _ = op2_minhash.shingles(Texts([prose(100, 40).encode()]))
+    _, often, _ = op2_minhash.shingles(Texts([common.encode()]))
+    most, least = 1 + op2_minhash.IDF, 1 + op2_minhash.IDF * np.log(2) / np.log(301)
+    assert n == 300 and np.allclose(np.exp(w.ln(rare)), most, rtol=0.01) and np.allclose(np.exp(w.ln(often)), least, rtol=0.01)
+    # at any load of the counters: what a counter holds by chance is taken off
+    loaded = op2_minhash.Weights(sketch + np.random.default_rng(0).poisson(500, sketch.shape), 1 << 20)
+    assert np.exp(loaded.ln(rare)).mean() > 1 + 0.7 * op2_minhash.IDF and np.exp(loaded.ln(often)).mean() < np.exp(loaded.ln(rare)).mean()
+
+
+def test_op2_texts_that_are_mostly_one_passage(spark, monkeypatch):
+    monkeypatch.setattr(op2_minhash, "PAIRED", 8)
+    passage = prose(5, 200)
+    rows = [(i, f"{passage} {prose(100 + i, 30)}") for i in range(60)]
+    rows += [(100 + i, edited(rows[3 * i][1], i, 1)) for i in range(20)]
+    got = {r["doc_id"]: r["class_id"] for r in table(op2_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert got == brute_classes(rows)
