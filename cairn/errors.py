@@ -13,6 +13,10 @@ class MissingBlock(CairnError):
     """A block is in none of the stores that were asked."""
 
 
+class Conflict(CairnError):
+    """Another writer committed the revision first."""
+
+
 class NodeNotFound(CairnError):
     """A path isn't in the catalog."""
 

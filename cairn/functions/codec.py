@@ -52,9 +52,13 @@ def read_varint(f: BinaryIO, most: int = 19) -> int | None:
     raise CodecError("a varint is too long")
 
 
+def cid_v1(digest: bytes, codec: int = RAW) -> bytes:
+    """CIDv1 of a SHA2-256 digest."""
+    return b"\x01" + varint(codec) + bytes([SHA2_256, 32]) + digest
+
+
 def make_cid(content: bytes, codec: int = RAW) -> bytes:
-    """CIDv1 with SHA2-256."""
-    return b"\x01" + varint(codec) + bytes([SHA2_256, 32]) + hashlib.sha256(content).digest()
+    return cid_v1(hashlib.sha256(content).digest(), codec)
 
 
 def read_cid(f: BinaryIO) -> bytes:

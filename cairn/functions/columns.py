@@ -152,15 +152,7 @@ def cid_parse(texts: pd.Series) -> pd.Series:
 def lz4_compress(raw: pd.Series) -> pd.Series:
     """LZ4 frames."""
 
-    def one(x: bytes | None) -> bytes | None:
-        if x is None:
-            return None
-        sink = pa.BufferOutputStream()
-        with pa.CompressedOutputStream(sink, "lz4") as out:
-            out.write(x)
-        return sink.getvalue().to_pybytes()
-
-    return raw.map(one)
+    return raw.map(lambda x: None if x is None else pa.compress(x, codec="lz4", asbytes=True))
 
 
 @F.pandas_udf(BinaryType())

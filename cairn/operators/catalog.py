@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.errors import InvalidSpecifier, NotUnique
@@ -57,6 +57,11 @@ def valid_drives(drives: DataFrame) -> DataFrame:
     return drives.withColumn("type", kind).withColumn("storage_class", parse_enum(F.col("storage_class"), STORAGE_CLASSES, "storage class"))
 
 
+def of_drive(answers: DataFrame, drive: Column, sizes: list[str]) -> DataFrame:
+    """A remote's answers (versions, snapshots, keys) as rows of a drive; a size that is missing is 0."""
+    return answers.select(drive.alias("drive"), *[F.coalesce(c, F.lit(0)).alias(c) if c in sizes else F.col(c) for c in answers.columns])
+
+
 def approve(keys: DataFrame, fingerprint: str, approved: bool = True) -> DataFrame:
     """An approved key; a rejected one goes."""
     if not approved:

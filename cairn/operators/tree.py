@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.errors import NodeNotFound
+from cairn.errors import CairnError, NodeNotFound
 from cairn.functions.columns import mime_type, parent, segments, under
 
 
@@ -71,10 +71,14 @@ def _moved(path: str, src: str, dst: str):
 
 
 def mv(nodes: DataFrame, src: str, dst: str, check: bool = False) -> DataFrame:
-    """The catalog with subtree src at dst. With check, a source that isn't there is an error at once."""
+    """The catalog with subtree src at dst; what was there goes, and a place below src itself is an error. With check, a
+    source that isn't there is an error at once."""
+    if dst.strip("/").startswith(f"{src.strip('/')}/"):
+        raise CairnError(f"{src} can't be moved below itself")
     if check:
         _require(nodes, src)
-    return nodes.withColumn("path", F.when(under(F.col("path"), src), _moved("path", src, dst)).otherwise(F.col("path")))
+    moves = under(F.col("path"), src)
+    return nodes.filter(moves | ~under(F.col("path"), dst)).withColumn("path", F.when(moves, _moved("path", src, dst)).otherwise(F.col("path")))
 
 
 def cp(nodes: DataFrame, src: str, dst: str, check: bool = False) -> DataFrame:

@@ -241,7 +241,7 @@ def q_mkdir(spark, sf):
     return tree.mkdir(_nodes(spark, sf), wanted).select("path", "kind")
 
 
-@query("""SELECT CASE WHEN doc_id IN (SELECT doc_id FROM d) THEN path ELSE path END AS path, CASE WHEN doc_id IN (SELECT doc_id FROM d) THEN 'symlink' ELSE 'file' END AS kind,
+@query("""SELECT path, CASE WHEN doc_id IN (SELECT doc_id FROM d) THEN 'symlink' ELSE 'file' END AS kind,
 CASE WHEN doc_id IN (SELECT doc_id FROM d) THEN 'store/' || cid END AS symlink_target FROM f""")
 def q_symlink(spark, sf):
     links = on_disk(spark, sf).select("path", F.concat(F.lit("store/"), "cid").alias("symlink_target"))

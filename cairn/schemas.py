@@ -11,7 +11,7 @@ def struct(ddl: str) -> StructType:
     return StructType([StructField(n, ArrayType(_TYPES[t[6:-1]]) if t.startswith("array<") else _TYPES[t]) for n, t in fields])
 
 
-SCAN = struct("path string, canonical string, kind string, len long, modified timestamp, accessed timestamp, created timestamp, symlink_target string, content binary")
+SCAN = struct("path string, canonical string, kind string, len long, modified timestamp, accessed timestamp, created timestamp, symlink_target string, content binary, cid string")
 BLOCKS = struct("store string, delta int, cid binary, codec int, content binary, length long, offset long")
 INDEX = struct("archive string, cid binary, offset long, length long")
 NODES = struct("drive string, revision long, path string, kind string, cids array<binary>, symlink_target string, mime_type string, size long, created timestamp, modified timestamp")

@@ -238,3 +238,16 @@ def unpack(archives_: DataFrame, by: str) -> DataFrame:
 
     schema = f"{by} {archives_.schema[by].dataType.simpleString()}, cid binary, offset long, length long, content binary"
     return archives_.select(by, "archive").mapInPandas(run, schema)
+
+
+def headers(archives_: DataFrame, by: str) -> DataFrame:
+    """(by, version, n_roots, data_offset, data_size, index_offset) of archives in a column (by, archive); 0 for no index."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            opened = [codec.Archive(BytesIO(bytes(raw))) for raw in pdf["archive"]]
+            found = [(a.version, len(a.roots), a.start, a.stop - a.start, a.index_offset) for a in opened]
+            yield pd.DataFrame(found, columns=["version", "n_roots", "data_offset", "data_size", "index_offset"]).assign(**{by: pdf[by].to_numpy()})
+
+    schema = f"version int, n_roots int, data_offset long, data_size long, index_offset long, {by} {archives_.schema[by].dataType.simpleString()}"
+    return archives_.select(by, "archive").mapInPandas(run, schema)

@@ -1,25 +1,30 @@
 """Data source `fstree`: a directory tree as rows, hidden files, empty directories and symlinks included.
 
-Links are never followed. Option `content=true` reads file bodies. Directories are opened level by level until there are
+Links are never followed. Option `content=true` reads file bodies, `hash=true` gives their CIDs, read in pieces. Directories are opened level by level until there are
 LEAST_ENTRIES subtrees, which are dealt to at most MOST_PARTITIONS partitions. The writer puts
 rows (path, kind, content, symlink_target) back on disk: parents first, links last, in the commit.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import stat
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from cairn.errors import CairnError
+from cairn.errors import CairnError, MissingBlock
+from cairn.functions import codec
 from cairn.schemas import SCAN
 
 
+PIECE = 4 << 20
 LEAST_ENTRIES, MOST_PARTITIONS = 64, 256
 
 
@@ -34,8 +39,8 @@ def _time(t: float) -> datetime:
 
 
 class TreeReader(DataSourceReader):
-    def __init__(self, root: str, content: bool):
-        self.root, self.content = os.path.abspath(root), content
+    def __init__(self, root: str, content: bool, hashed: bool = False):
+        self.root, self.content, self.hashed = local(root), content, hashed
 
     def partitions(self) -> list[InputPartition]:
         opened: list[str] = []
@@ -58,10 +63,12 @@ class TreeReader(DataSourceReader):
             yield from self._walk(path)
 
     def _walk(self, path: str) -> Iterator[tuple]:
-        yield self._row(path)
-        if self._is_dir(path):
-            for name in sorted(os.listdir(os.path.join(self.root, path))):
-                yield from self._walk(f"{path}/{name}")
+        left = [path]
+        while left:
+            path = left.pop()
+            yield self._row(path)
+            if self._is_dir(path):
+                left += [f"{path}/{name}" for name in sorted(os.listdir(os.path.join(self.root, path)), reverse=True)]
 
     def _row(self, path: str) -> tuple:
         full = os.path.join(self.root, path)
@@ -72,8 +79,41 @@ class TreeReader(DataSourceReader):
         if self.content and kind == "file":
             with open(full, "rb") as f:
                 body = f.read()
+        cid = cid_of(full) if self.hashed and kind == "file" else None
         canonical = full if kind == "symlink" else os.path.realpath(full)
-        return path, canonical, kind, s.st_size if kind == "file" else 0, _time(s.st_mtime), _time(s.st_atime), _time(s.st_ctime), target, body
+        return path, canonical, kind, s.st_size if kind == "file" else 0, _time(s.st_mtime), _time(s.st_atime), _time(s.st_ctime), target, body, cid
+
+
+def local(path: str) -> str:
+    """The path of a folder that all executors mount."""
+    if "://" in path and not path.startswith("file://"):
+        raise CairnError(f"{path} is no folder that is mounted")
+    return os.path.abspath(path.removeprefix("file://").removeprefix("file:"))
+
+
+def cid_of(full: str) -> str:
+    """CID of a file's bytes, which are read in pieces."""
+    digest = hashlib.sha256()
+    with open(full, "rb") as f:
+        while piece := f.read(PIECE):
+            digest.update(piece)
+    return codec.cid_v1(digest.digest()).hex()
+
+
+def bodies(files: DataFrame, root: str) -> DataFrame:
+    """(cid, content) of files (path, cid) below a root; a file that isn't what its cid says any more is an error."""
+    root = local(root)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, cid in zip(pdf["path"], pdf["cid"], strict=True):
+                with open(os.path.join(root, path), "rb") as f:
+                    body = f.read()
+                if codec.make_cid(body).hex() != cid:
+                    raise CairnError(f"{path} has changed while it was read")
+                yield pd.DataFrame({"cid": [cid], "content": [body]})
+
+    return files.select("path", "cid").mapInPandas(read, "cid string, content binary")
 
 
 def relative_target(root: str, link: str) -> str:
@@ -94,7 +134,7 @@ class Restored(WriterCommitMessage):
 
 class TreeWriter(DataSourceWriter):
     def __init__(self, root: str):
-        self.root = os.path.abspath(root)
+        self.root = local(root)
 
     def _full(self, path: str) -> str:
         full = os.path.normpath(os.path.join(self.root, path))
@@ -111,10 +151,12 @@ class TreeWriter(DataSourceWriter):
             elif r["kind"] == "symlink":
                 links.append((r["path"], r["symlink_target"]))
             else:
+                if r["content"] is None:
+                    raise MissingBlock(f"{r['path']} has no content")
                 os.makedirs(os.path.dirname(full), exist_ok=True)
                 part = f"{full}.{os.getpid()}.part"
                 with open(part, "wb") as f:
-                    f.write(bytes(r["content"] or b""))
+                    f.write(bytes(r["content"]))
                 os.replace(part, full)
         return Restored(links)
 
@@ -142,7 +184,7 @@ class TreeDataSource(DataSource):
         return SCAN
 
     def reader(self, schema: StructType) -> TreeReader:
-        return TreeReader(self.options["path"], self.options.get("content", "false").lower() == "true")
+        return TreeReader(self.options["path"], self.options.get("content", "false").lower() == "true", self.options.get("hash", "false").lower() == "true")
 
     def writer(self, schema: StructType, overwrite: bool) -> TreeWriter:
         return TreeWriter(self.options["path"])

@@ -47,6 +47,10 @@ def test_mount(spark, tmp_path):
     assert sorted(os.listdir(tmp_path / "out")) == ["copy.txt", "link", "moved", "new.txt"]
     m.restore_snapshot("before")
     assert m.read_bytes("cat.txt") == b"hello puppy" and m.describe()["nodes"] == 4
+    with pytest.raises(CairnError):
+        other.write("fork.txt", b"f")
+        m.push()
+        other.push()
     assert m.history().agg(F.max("depth")).head()[0] == m.describe()["revision"] - 1
 
 

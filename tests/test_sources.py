@@ -1,13 +1,15 @@
 import os
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from cairn.errors import NodeNotFound
+from cairn.errors import CairnError, Conflict, MissingBlock, NodeNotFound
 from cairn.functions import codec
 from cairn.functions.columns import cid_binary
-from cairn.plans.pipelines import Catalog, add, prepare, remove, restore, sync
-from cairn.sources import register
+from cairn.operators import tree
+from cairn.plans.pipelines import Catalog, add, copy_revisions, prepare, remove, restore, scan, sync
+from cairn.sources import fstree, register
 
 
 def put(root, path, data):
@@ -116,6 +118,57 @@ def test_add_remove_sync(spark, tmp_path):
         remove(c, "x/1.txt")
 
 
+def test_lost_contents_are_an_error_before_anything_is_written(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path / "a"))
+    add(c, spark.createDataFrame([("a.txt", bytearray(b"alpha")), ("b.txt", bytearray(b"beta"))], "path string, content binary"))
+    other = Catalog(spark, str(tmp_path / "b"))
+    copy_revisions(c, other)
+    with pytest.raises(MissingBlock, match="a.txt, b.txt"):
+        restore(other, str(tmp_path / "out"))
+    assert not os.path.exists(tmp_path / "out")
+    restore(other, str(tmp_path / "out"), fallback=c)
+    assert listing(str(tmp_path / "out")) == {"a.txt": ("file", b"alpha"), "b.txt": ("file", b"beta")}
+    rows = spark.createDataFrame([("x", "file", None, None)], "path string, kind string, content binary, symlink_target string")
+    with pytest.raises(PySparkException, match="has no content"):
+        rows.write.format("fstree").mode("append").save(str(tmp_path / "more"))
+
+
+def test_unrelated_catalogs_are_not_synced(spark, tmp_path):
+    one, two = Catalog(spark, str(tmp_path / "a")), Catalog(spark, str(tmp_path / "b"))
+    for c, x in ((one, b"12345"), (two, b"abcde")):
+        add(c, spark.createDataFrame([("f", bytearray(x))], "path string, content binary"))
+    assert sync(one, two) == sync(two, one) == "unknown"
+    with pytest.raises(CairnError):
+        copy_revisions(one, two)
+    assert one.by_root(one.last()["root"]).head()["cid"] == one.nodes().head()["cid"] != two.nodes().head()["cid"]
+
+
+def test_of_two_writers_one_gets_an_error(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path / "a"))
+    row = lambda name: spark.createDataFrame([(name,)], "path string")
+    c.commit(tree.mkdir(c.nodes(), row("one")))
+    parent = c.revision()
+    first, second = (c.stage(tree.mkdir(c.nodes(parent), row(n))) for n in ("two", "three"))
+    assert c.publish(first, parent) == 2
+    with pytest.raises(Conflict):
+        c.publish(second, parent)
+    assert c.revision() == 2 and {r.path for r in c.nodes().collect()} == {"one", "two"}
+
+
+def test_a_file_that_changes_is_noticed(spark, nasty):
+    rows = scan(spark, nasty).filter("kind = 'file'").select("path", "cid").collect()
+    put(nasty, "a.txt", b"other")
+    with pytest.raises(PySparkException, match="has changed"):
+        fstree.bodies(spark.createDataFrame(rows), nasty).count()
+
+
+def test_a_moved_subtree_replaces_what_was_there(spark):
+    nodes = spark.createDataFrame([("a/x", "file"), ("b/x", "file"), ("b/y", "file"), ("c", "file")], "path string, kind string")
+    assert sorted(r.path for r in tree.mv(nodes, "a", "b").collect()) == ["b/x", "c"]
+    with pytest.raises(CairnError):
+        tree.mv(nodes, "a", "a/b")
+
+
 def test_stream_ingest(spark, tmp_path):
     from cairn.streaming.ingest import ingest
 
@@ -125,3 +178,8 @@ def test_stream_ingest(spark, tmp_path):
     for _ in range(2):
         ingest(spark.readStream.schema(rows.schema).parquet(src), c, str(tmp_path / "cp")).awaitTermination()
     assert c.revision() == 1 and c.blocks().count() == 2
+    again = spark.createDataFrame([("a", bytearray(b"3"), 1), ("a", bytearray(b"4"), 2), ("a", bytearray(b"0"), 0)], "path string, content binary, modified int")
+    again.write.parquet(str(tmp_path / "more"))
+    ingest(spark.readStream.schema(again.schema).parquet(str(tmp_path / "more")), c, str(tmp_path / "cp2")).awaitTermination()
+    node = c.nodes().filter("path = 'a'").head()
+    assert node["cid"] == codec.make_cid(b"4").hex() and c.index().count() == 5
