@@ -1,14 +1,16 @@
 """Toxicity: cumulative-link ordinal regression over sparse text features, giving an expected severity.
 
-Grades: 0 for a row labelled clean; 1, 2 or 3 for a toxic row, by thirds of how often the terms that mark toxic
-rows occur in it. P(grade <= k) = sigmoid(theta_k - w.x) with one weight vector for all ordered thresholds; x holds
-1 + log(count) of the terms that the labels set apart: words, and beginnings of words. The expected severity is the sum of P(grade > k). A row is
-toxic from the severity that separates the training labels best (F1).
+The labels tell toxic rows from clean ones, not how bad they are. Grades to learn from are therefore made of the labels:
+0 for a clean row; 1, 2 or 3 for a toxic one, by thirds of a score that a two-grade model, fitted on the other half of the
+sample, gives it. They are an estimate of severity and no labels. P(grade <= k) = sigmoid(theta_k - w.x) with one weight
+vector for all ordered thresholds; x holds 1 + log(count) of the TERMS terms (words, and beginnings of words) whose shares
+in toxic and in clean rows differ most, in either direction, and the weights are held small by L2. The expected severity
+is the sum of P(grade > k). A row is toxic from the severity that separates the training labels best (F1).
 
 Defined cases: a null or empty text has no features and is clean by the thresholds alone; equal texts get equal
-results and repeated rows stay repeated; without labels of both kinds nothing is toxic; other columns are not
-read. Words are runs of ASCII letters, digits and all other characters, in lower case; every text is read whole.
-Training takes at most TRAIN_ROWS labelled rows, outside the fold crc32(doc_id) mod 4 = 2.
+results and repeated rows stay repeated; of labelled rows that repeat an id one counts; without labels of both kinds
+nothing is toxic; other columns are not read. Words are runs of ASCII letters, digits and all other characters, in lower
+case; every text is read whole. Training takes at most TRAIN_ROWS labelled rows, outside the fold crc32(doc_id) mod 4 = 2.
 """
 
 from __future__ import annotations
@@ -21,16 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Scratch, fold, labelled, read_table
+from cairn.llm.common import Scratch, fold, labelled, one_of_id, read_table
 from cairn.llm.textnum import _BASE, ALNUM, Texts, lowered, mix, ragged, text_map
 
 TRAIN_ROWS = 8_000
 TERMS = 400
 PREFIXES = (4, 5, 6, 7, 8)
 LEAST_ROWS = 5
-LEAST_Z = 4.5
-LEAST_RATIO = 10
 GRADES = 4
+L2 = 1e-3
 
 
 def terms(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +76,28 @@ class Ordinal:
         return (1 / (1 + np.exp(-np.clip(z[:, None] - self.theta, -30, 30)))).sum(axis=1)
 
 
-def fit_cumulative(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 1e-5, steps: int = 800, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Sparse:
+    """A matrix by its values: row and column of each."""
+
+    row: np.ndarray
+    col: np.ndarray
+    value: np.ndarray
+    shape: tuple[int, int]
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.col], minlength=self.shape[0])
+
+    def back(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, self.value * v[self.row], minlength=self.shape[1])
+
+    def part(self, rows: np.ndarray) -> Sparse:
+        """The rows that a mask holds."""
+        number, here = np.cumsum(rows) - 1, rows[self.row]
+        return Sparse(number[self.row[here]], self.col[here], self.value[here], (int(rows.sum()), self.shape[1]))
+
+
+def fit_cumulative(x: Sparse, y: np.ndarray, grades: int, l2: float = L2, steps: int = 400, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by Adam on the likelihood; gaps between thresholds are exponentials."""
     n, v = x.shape
     k = grades - 1
@@ -88,41 +110,45 @@ def fit_cumulative(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 1e-5,
     for i in range(1, steps + 1):
         w, gaps = par[:v], np.exp(np.clip(par[v + 1 :], -20, 5))
         theta = par[v] + np.concatenate([[0.0], np.cumsum(gaps)])
-        z = x @ w
+        z = x.times(w)
         top = np.where(y < k, 1 / (1 + np.exp(-np.clip(theta[hi] - z, -30, 30))), 1.0)
         bottom = np.where(y > 0, 1 / (1 + np.exp(-np.clip(theta[lo] - z, -30, 30))), 0.0)
         p = np.maximum(top - bottom, 1e-12)
         dt, db = np.where(y < k, top * (1 - top), 0) / p, np.where(y > 0, bottom * (1 - bottom), 0) / p
         dz = (dt - db) / n  # of the mean negative log likelihood
         dtheta = np.bincount(hi, -dt / n, minlength=k) + np.bincount(lo, db / n, minlength=k)
-        grad = np.concatenate([x.T @ dz + l2 * w, [dtheta.sum()], np.cumsum(dtheta[::-1])[::-1][1:] * gaps])
+        grad = np.concatenate([x.back(dz) + l2 * w, [dtheta.sum()], np.cumsum(dtheta[::-1])[::-1][1:] * gaps])
         m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2
         par -= rate * (m / (1 - 0.9**i)) / (np.sqrt(s / (1 - 0.999**i)) + 1e-8)
     return par[:v], par[v] + np.concatenate([[0.0], np.cumsum(np.exp(np.clip(par[v + 1 :], -20, 5)))])
 
 
-def marking_terms(rows: DataFrame, n: int, pos: int) -> np.ndarray:
-    """Sorted hashes of the TERMS terms that set toxic rows (toxic, words) apart best, by the z of the two shares."""
+def telling_terms(rows: DataFrame, n: int, pos: int) -> np.ndarray:
+    """Sorted hashes of the TERMS terms whose shares of toxic and of clean rows (toxic, words) differ most, by their z."""
     term = rows.select("toxic", F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("rows"), F.sum("toxic").alias("hits"))
     p1, p0 = F.col("hits") / F.lit(pos), (F.col("rows") - F.col("hits")) / F.lit(n - pos)
     share = F.col("rows") / F.lit(n)
-    z = (p1 - p0) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * F.lit(1 / pos + 1 / (n - pos)))
-    kept = term.filter((F.col("rows") >= LEAST_ROWS) & (p1 >= LEAST_RATIO * (p0 + F.lit(0.5 / (n - pos)))) & (z >= LEAST_Z))
-    got = kept.orderBy(F.desc(z), "term").limit(TERMS).select("term").toArrow()
+    z = F.abs(p1 - p0) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)))
+    got = term.filter(F.col("rows") >= LEAST_ROWS).orderBy(F.desc(z), "term").limit(TERMS).select("term").toArrow()
     return np.sort(got["term"].to_numpy().astype(np.uint64))
 
 
+def crossed_grades(x: Sparse, toxic: np.ndarray) -> np.ndarray:
+    """Grades of the rows: thirds of a score that comes from the other half of them."""
+    half, score = np.arange(len(toxic)) % 2 == 0, np.zeros(len(toxic))
+    for here in (half, ~half):
+        w, _ = fit_cumulative(x.part(~here), toxic[~here].astype(int), 2)
+        score[here] = x.part(here).times(w)
+    third = np.quantile(score[toxic == 1], [1 / 3, 2 / 3])
+    return np.where(toxic == 1, 1 + np.searchsorted(third, score, side="left"), 0)
+
+
 def fit_ordinal(doc: np.ndarray, word: np.ndarray, count: np.ndarray, toxic: np.ndarray, term: np.ndarray) -> Ordinal:
     """The model of rows' counts (doc, word, count) of the terms, which are sorted."""
     n, pos = len(toxic), int(toxic.sum())
-    place = np.searchsorted(term, word)
-    x = np.zeros((n, len(term)))
-    x[doc, place] = 1 + np.log(count)
-    marks = np.bincount(doc, count, minlength=n)
-    third = np.quantile(marks[toxic == 1], [1 / 3, 2 / 3])
-    y = np.where(toxic == 1, 1 + np.searchsorted(third, marks, side="left"), 0)
-    model = Ordinal(term, *fit_cumulative(x, y, GRADES), 1.0)
-    sev = model.expected(x @ model.weight)
+    x = Sparse(doc, np.searchsorted(term, word), 1 + np.log(count), (n, len(term)))
+    model = Ordinal(term, *fit_cumulative(x, crossed_grades(x, toxic), GRADES), 1.0)
+    sev = model.expected(x.times(model.weight))
     order = np.argsort(-sev, kind="stable")
     tp = np.cumsum(toxic[order])
     f1 = 2 * tp / (np.arange(1, n + 1) + pos)
@@ -144,10 +170,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, n: int = TRAIN_ROWS) -> Ord
         return {"words": ragged(word.astype(np.int64), each), "counts": ragged(count.astype(np.int32), each)}
 
     rows = text_map(rows.withColumn("toxic", F.col("toxic").cast("int")), ["doc_id", "toxic"], "text", "words array<long>, counts array<int>", fn)
-    rows = scratch.write(rows, "terms")
+    rows = scratch.write(one_of_id(rows), "terms")
     total, pos = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).head()
     none = Ordinal(np.zeros(0, dtype=np.uint64), np.zeros(0), np.full(GRADES - 1, 30.0), 1.0)
-    term = marking_terms(rows, total, pos) if 1 < pos < total else none.term
+    term = telling_terms(rows, total, pos) if 1 < pos < total else none.term
     if not len(term):
         scratch.drop()
         return none

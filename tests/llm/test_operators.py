@@ -172,10 +172,30 @@ def test_op5_ordinal_fit():
     r = np.random.default_rng(2)
     x = r.normal(size=(3000, 3))
     y = np.searchsorted([-1.0, 0.5, 2.0], x @ [2.0, -1.0, 0.0] + r.logistic(size=3000))
-    w, theta = op5_toxicity.fit_cumulative(x, y, 4, l2=1e-6, steps=1500)
+    row, col = np.indices(x.shape)
+    w, theta = op5_toxicity.fit_cumulative(op5_toxicity.Sparse(row.ravel(), col.ravel(), x.ravel(), x.shape), y, 4, l2=1e-6, steps=1500)
     assert np.allclose(w, [2, -1, 0], atol=0.25) and np.allclose(theta, [-1, 0.5, 2], atol=0.25) and (np.diff(theta) > 0).all()
 
 
+def test_op5_learns_terms_of_either_kind_and_orders_severity(spark):
+    bad, good = ["vile", "rotten", "foul"], ["kindly", "gentle", "please"]
+    rows, marks = [], []
+    for i in range(600):
+        r = np.random.default_rng(i)
+        toxic = i % 4 == 0
+        n = int(r.integers(1, 6)) if toxic else 0
+        rows.append((i, " ".join([*prose(i, 30).split(), *r.choice(bad, n), *r.choice(good, 0 if toxic else 1)])))
+        marks.append((i, int(toxic), n))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([m[:2] for m in marks], "doc_id long, toxic int")
+    model = op5_toxicity.fit_toxicity(docs, labels)
+    found = {r["doc_id"]: r for r in table(op5_toxicity.score_toxicity(docs, model, ["doc_id"]))}
+    held = [(found[i]["toxic"], t) for i, t, _ in marks if crc(i) % 4 == 2]
+    assert np.mean([bool(p) == bool(t) for p, t in held]) > 0.97
+    mean = [np.mean([found[i]["severity"] for i, _, k in marks if k == n]) for n in range(6)]
+    assert mean[0] < 0.3 and mean[1] < mean[3] < mean[5]
+    assert (model.weight < -0.1).any() and (model.weight > 0.1).any()
+
+
 def test_op6_posteriors_are_forward_backward():
     r = np.random.default_rng(0)
     emit, trans, first = r.normal(size=(700, 3)), r.normal(size=(3, 3)), r.normal(size=3)
