@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["op1_quality", "op2_minhash", "op3_rules", "op4_secrets", "op5_toxicity", "op6_language", "op7_topk", "op8_sharding", "op9_packing", "op10_sentencepiece"]
+MODULES = ["op1_quality", "op2_minhash", "op3_rules", "op4_secrets", "op5_toxicity", "op6_language", "op7_topk", "op8_sharding", "op9_packing", "op10_sentencepiece", "sql_checks"]
 
 
 def queries() -> dict:

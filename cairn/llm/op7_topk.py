@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from cairn.llm.common import Scratch, read_table, small_batches
 
 BUCKET = 1_024
+PART_BUCKETS = 32
 QUERY_BLOCK = 256
 K = 5
 SALTS = 16
@@ -176,6 +177,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vect
     rows = rows.select(F.col(id_col).cast("long").alias("id"), x.alias("x"), is_query.alias("q"))
     rows = rows.select("id", "x", "q", F.size("x").alias("dim"), F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)).alias("norm"))
     rows = scratch.write(rows, "rows")
+    parts = max(parts, -(-rows.count() // (BUCKET * PART_BUCKETS)))  # a part's buckets don't grow with the table
     buckets = scratch.write(_packed(rows, parts, BUCKET), "buckets")
     queries = scratch.write(_packed(rows.filter("q"), parts, QUERY_BLOCK), "queries").select(
         F.col("bucket").alias("block"), "dim", F.col("most").alias("q_most"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")
@@ -195,8 +197,10 @@ def top_k(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vect
     # a block meets the parts whose longest vector reaches the least bound of its queries: at most a row for each part
     reach = buckets.groupBy("dim", "part").agg(F.max("most").alias("part_most"))
     reach = reach.groupBy("dim").agg(F.collect_list(F.struct("part", "part_most")).alias("all"))
-    meets = bounded.join(F.broadcast(reach), "dim").select("block", "dim", "q_ids", "q_vectors", "q_bounds", F.explode(F.filter("all", lambda r: r["part_most"] * (1 + SLACK) >= F.col("least_norm"))["part"]).alias("part"))
-    found = _meet(meets.join(buckets, ["dim", "part"]), k, False)
+    meets = bounded.join(F.broadcast(reach), "dim").select("block", "dim", "least_norm", "q_ids", "q_vectors", "q_bounds", F.explode(F.filter("all", lambda r: r["part_most"] * (1 + SLACK) >= F.col("least_norm"))["part"]).alias("part"))
+    # of these parts only the buckets that reach it leave the join
+    near = meets.join(buckets, ["dim", "part"]).filter(F.col("most") * (1 + SLACK) >= F.col("least_norm")).drop("least_norm")
+    found = _meet(near, k, False)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

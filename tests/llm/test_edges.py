@@ -7,7 +7,8 @@ import pytest
 import __spark_entry__ as entry
 from cairn.llm import catalog
 
-PER_DOC = [n for n in sorted(catalog.queries()) if n not in ("op7_topk", "op9_packing")]
+OPS = sorted(n for n in catalog.queries() if n.startswith("op"))
+PER_DOC = [n for n in OPS if n not in ("op7_topk", "op9_packing")]
 
 
 @pytest.mark.parametrize("name", PER_DOC)
@@ -22,7 +23,7 @@ def test_a_row_for_each_document(spark, edge, name):
         assert all(x == same[0] for x in same)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
+@pytest.mark.parametrize("name", OPS)
 def test_empty_tables(spark, nothing, name):
     assert entry.queries()[name](spark, nothing).toArrow().num_rows == 0
 
