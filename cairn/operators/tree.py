@@ -109,11 +109,16 @@ def write(nodes: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def read(nodes: DataFrame, content: DataFrame, metadata: DataFrame) -> DataFrame:
-    """(path, bytes) of files: from the content store, else from the metadata store (each cid, content)."""
+    """(path, bytes) of files: from the content store, else from the metadata store (each cid, content).
+
+    Of the second store only what the first lacks is moved, and of either only what a file asks for. Archives are read by
+    offset instead (pipelines.contents)."""
     files = nodes.filter("kind = 'file'").select("path", "cid")
-    first = content.select("cid", F.col("content").alias("a")).dropDuplicates(["cid"])
-    second = metadata.select("cid", F.col("content").alias("b")).dropDuplicates(["cid"])
-    return files.join(first, "cid", "left").join(second, "cid", "left").select("path", F.coalesce("a", "b").alias("bytes"))
+    wanted = files.select("cid").distinct()
+    first = content.select("cid", "content").join(wanted, "cid", "left_semi")
+    second = metadata.select("cid", "content").join(wanted.join(content.select("cid"), "cid", "left_anti"), "cid", "left_semi")
+    bodies = first.unionByName(second).dropDuplicates(["cid"])
+    return files.join(bodies, "cid", "left").select("path", F.col("content").alias("bytes"))
 
 
 def by_parent(nodes: DataFrame) -> DataFrame:

@@ -40,25 +40,29 @@ def previous(versions: DataFrame, order: list[str], column: str, span: Column |
 def history(versions: DataFrame, limit: int = 1_000_000) -> DataFrame:
     """(id, original, depth): the version that a chain of previous pointers (id, previous) ends at, and how far it is.
 
-    Pointers are doubled, so a chain of d versions takes log2(d) joins on unique ids; each round is written once. A chain longer
-    than limit, or a cycle, is an error.
+    Pointers are doubled, so a chain of d versions takes log2(d) joins on unique ids. Each round is written once, and holds
+    the versions alone whose end the rounds before didn't find. A chain longer than limit, or a cycle, is an error.
     """
     scratch, rounds = Scratch(versions.sparkSession, "history"), 0
-    jump = versions.select("id", F.col("previous").alias("at"), F.when(F.col("previous").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.coalesce("previous", "id").alias("end"))
-    while True:
-        nxt = jump.select(F.col("id").alias("at"), F.col("at").alias("at2"), F.col("steps").alias("more"), F.col("end").alias("end2"))
-        jump = jump.join(nxt, "at", "left").select(
+    first = F.col("previous").isNull()
+    rows = versions.select("id", F.col("previous").alias("at"), F.when(first, 0).otherwise(1).cast("long").alias("steps"), F.coalesce("previous", "id").alias("end"))
+    rows = scratch.write(rows, "round-0")
+    done, active = rows.filter("at IS NULL"), rows.filter("at IS NOT NULL")
+    while not active.isEmpty():
+        if 1 << rounds > limit:
+            raise CairnError(f"a history has more than {limit} versions")
+        every = done.unionByName(active)
+        nxt = every.select(F.col("id").alias("at"), F.col("at").alias("at2"), F.col("steps").alias("more"), F.col("end").alias("end2"))
+        active = active.join(nxt, "at", "left").select(
             "id", F.col("at2").alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("end2", "end").alias("end")
         )
-        jump = scratch.write(jump, f"round-{rounds}")
-        if rounds:
-            scratch.drop(f"round-{rounds - 1}")
         rounds += 1
-        if jump.filter("at IS NOT NULL").isEmpty():
-            break
-        if 1 << rounds > limit:
-            raise CairnError(f"a history has more than {limit} versions")
-    return jump.select("id", F.col("end").alias("original"), F.col("steps").alias("depth"))
+        rows = scratch.write(active, f"round-{rounds}")
+        done, active = done.unionByName(rows.filter("at IS NULL")), rows.filter("at IS NOT NULL")
+    too_long = done.filter(F.col("steps") >= limit)
+    if (1 << rounds) > limit and not too_long.isEmpty():
+        raise CairnError(f"a history has more than {limit} versions")
+    return done.select("id", F.col("end").alias("original"), F.col("steps").alias("depth"))
 
 
 def snapshot_cids(*sources: DataFrame) -> DataFrame:

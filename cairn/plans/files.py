@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.columns import byte_size, cid_hex
-from cairn.session import read_table
+from cairn.session import Scratch, read_table
 
 
 def files(spark: SparkSession, sf_dir: str, content: bool = False) -> DataFrame:
@@ -21,9 +21,14 @@ def files(spark: SparkSession, sf_dir: str, content: bool = False) -> DataFrame:
     return docs.select(*cols, *(["text"] if content else []))
 
 
-def on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hashed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """files() as a table, for queries that use it several times: the contents are read and hashed once."""
+    return Scratch(spark, "files").write(files(spark, sf_dir), "files")
+
+
+def on_disk(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels").select("doc_id")
-    return files(spark, sf_dir).join(labels, "doc_id", "left_semi")
+    return (files(spark, sf_dir) if rows is None else rows).join(labels, "doc_id", "left_semi")
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:

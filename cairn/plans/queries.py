@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import columns as C
 from cairn.operators import catalog, scan, sharing, store, tree, versions
-from cairn.plans.files import DISK_SQL, FILES_SQL, files, on_disk
+from cairn.plans.files import DISK_SQL, FILES_SQL, files, hashed_once, on_disk
 from cairn.plans.files import versions as version_rows
 from cairn.session import Scratch, read_table
 from cairn.sources import register
@@ -52,7 +52,7 @@ def q_dup_canonical(spark, sf):
 
 @query("SELECT doc_id, canonical FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY cid) AS canonical FROM f) t WHERE doc_id <> canonical")
 def q_dup_links(spark, sf):
-    return scan.links(files(spark, sf), "doc_id").select("doc_id", "canonical")
+    return scan.links(hashed_once(spark, sf), "doc_id").select("doc_id", "canonical")
 
 
 @query("SELECT 'file_group' AS kind, min(doc_id) AS doc_id, cid, count(*) AS n_members, CAST(0 AS INTEGER) AS phase FROM f GROUP BY cid")
@@ -63,7 +63,7 @@ def q_plan(spark, sf):
 
 @query("SELECT doc_id, path, min(path) OVER (PARTITION BY cid) AS canonical FROM f")
 def q_plan_members(spark, sf):
-    return scan.members(files(spark, sf)).select("doc_id", "path", "canonical")
+    return scan.members(hashed_once(spark, sf)).select("doc_id", "path", "canonical")
 
 
 # difference of catalog and disk
@@ -76,7 +76,8 @@ def q_deleted(spark, sf):
 
 @query("SELECT cid FROM f WHERE path NOT IN (SELECT path FROM d) EXCEPT SELECT cid FROM d")
 def q_deleted_cids(spark, sf):
-    return scan.deleted_cids(files(spark, sf), on_disk(spark, sf))
+    rows = hashed_once(spark, sf)
+    return scan.deleted_cids(rows, on_disk(spark, sf, rows))
 
 
 @query("SELECT count(*) AS n, CAST(sum(len) AS BIGINT) AS bytes FROM d WHERE path IN (SELECT path FROM f)")
@@ -124,10 +125,10 @@ def q_archive_header(spark, sf):
     return store.headers(_placed(spark, sf))
 
 
-def _requests(spark, sf):
+def _requests(spark, sf, rows):
     """Contents that are asked for: those on disk and benchmark passages, which the archives lack."""
     extra = read_table(spark, sf, "benchmark").select(C.cid_hex(F.col("text")).alias("cid"))
-    return on_disk(spark, sf).select("cid").unionByName(extra)
+    return on_disk(spark, sf, rows).select("cid").unionByName(extra)
 
 
 _REQUESTS = "SELECT cid FROM d UNION SELECT '01551220' || sha256(text) FROM benchmark"
@@ -136,12 +137,14 @@ _REQUESTS = "SELECT cid FROM d UNION SELECT '01551220' || sha256(text) FROM benc
 @query(f"""SELECT r.cid, count(i.delta) AS n_archives, max(i.delta) AS delta FROM ({_REQUESTS}) r
 LEFT JOIN (SELECT DISTINCT cid, delta FROM f) i ON r.cid = i.cid GROUP BY r.cid""")
 def q_block_lookup(spark, sf):
-    return store.lookup(_requests(spark, sf), files(spark, sf).select("cid", "delta").distinct())
+    rows = hashed_once(spark, sf)
+    return store.lookup(_requests(spark, sf, rows), rows.select("cid", "delta").distinct())
 
 
 @query(f"SELECT cid FROM ({_REQUESTS}) r WHERE cid NOT IN (SELECT cid FROM f)")
 def q_missing_blocks(spark, sf):
-    return store.missing(_requests(spark, sf), files(spark, sf))
+    rows = hashed_once(spark, sf)
+    return store.missing(_requests(spark, sf, rows), rows)
 
 
 @query("SELECT count(*) AS n FROM (SELECT DISTINCT cid FROM f WHERE cid NOT IN (SELECT cid FROM d)) t")
@@ -160,25 +163,26 @@ def q_newest_delta(spark, sf):
 @query("""SELECT cid, CASE WHEN cid IN (SELECT cid FROM d) THEN 'primary' WHEN cid IN (SELECT cid FROM f) THEN 'secondary' ELSE 'missing' END AS source
 FROM (SELECT cid FROM f UNION SELECT '01551220' || sha256(text) FROM benchmark) t""")
 def q_split_store(spark, sf):
-    wanted = files(spark, sf).select("cid").unionByName(_requests(spark, sf))
-    return store.split_read(wanted, on_disk(spark, sf), files(spark, sf))
+    rows = hashed_once(spark, sf)
+    return store.split_read(rows.select("cid").unionByName(_requests(spark, sf, rows)), on_disk(spark, sf, rows), rows)
 
 
-def _locations(spark, sf):
+def _locations(rows):
     """Hosts are sources; what is in Spanish has the mark of an unknown place."""
-    return files(spark, sf).select(F.when(F.col("lang") == "es", "NA").otherwise(F.col("source")).alias("host"), "cid").distinct()
+    return rows.select(F.when(F.col("lang") == "es", "NA").otherwise(F.col("source")).alias("host"), "cid").distinct()
 
 
 @query("""SELECT cid, min(host) FILTER (host <> 'NA') AS host, count(DISTINCT host) FILTER (host <> 'NA') AS n_hosts
 FROM (SELECT cid, CASE WHEN lang = 'es' THEN 'NA' ELSE source END AS host FROM f) t GROUP BY cid""")
 def q_locations(spark, sf):
-    return store.locate(files(spark, sf), _locations(spark, sf))
+    rows = hashed_once(spark, sf)
+    return store.locate(rows, _locations(rows))
 
 
 @query("""SELECT host, count(*) AS n_cids, min(cid) AS first_cid, max(cid) AS last_cid
 FROM (SELECT DISTINCT cid, CASE WHEN lang = 'es' THEN 'NA' ELSE source END AS host FROM f) t GROUP BY host""")
 def q_location_map(spark, sf):
-    return store.location_map(_locations(spark, sf))
+    return store.location_map(_locations(files(spark, sf)))
 
 
 # tree operations
