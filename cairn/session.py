@@ -25,11 +25,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Intermediate tables in the shared folder; they cut lineage and survive lost executors."""
+    """Intermediate tables in the shared folder; they cut lineage and survive lost executors. What isn't dropped before goes
+    when the driver ends, as results may be read from it until then."""
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/cairn/{what}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
