@@ -13,9 +13,11 @@
    id. The similarity is the weighted Jaccard similarity; 0.8 or more makes a link.
 5. What that leaves open is settled exactly. Nodes of a bucket with several components list their prefix: their rarest
    shingles, up to 1 - 0.8 of their weight. Two texts of similarity 0.8 have their rarest common shingle in both prefixes,
-   so nodes of different components that share a prefix shingle are compared, if their total weights allow it. A shingle in
-   the prefixes of more than PAIRED nodes (texts that are mostly one common passage) is settled in packed blocks: a task
-   gets two, discards pairs by a bound from one matrix product, and returns links only.
+   and within the first ninth of the lighter text's weight, as all they share lies behind it; so nodes of different
+   components that share such a shingle are compared, if their weights and what lies behind it allow the similarity. Where
+   more than PAIRED nodes share it (large groups of nearly equal texts) they are compared with the node that has least of
+   its own before it, the cleanest copy. What is still of several components is settled in packed blocks: a task gets two,
+   discards pairs by a bound from one matrix product, and returns a link of each node to each component.
 6. Components of the links are the classes, named by their smallest id.
 
 Defined cases: a null text counts as empty; texts without words are alike only if they are equal; texts of one to four
@@ -267,11 +269,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     known = _judged(members.select("id", "pivot").distinct(), texts, weights, scratch)
     # components of the first links tell what is settled already; later links only add to that
     label = scratch.write(components(_links(known, similarity), scratch, "graph-first"), "label-first")
-    found = scratch.write(_left_open(members, pivots, label, texts, weights, similarity, scratch), "found")
+    near, many, opened = _left_open(members, pivots, label, texts, weights, similarity, scratch)
+    links = _links(known, similarity).unionByName(near)
+    label = scratch.write(components(links, scratch, "graph-near"), "label-near")
+    found = scratch.write(_settled(many, label, opened, weights, similarity), "found")
     if not found.isEmpty():
-        links = _links(known, similarity).unionByName(found)
-        label = scratch.write(components(links, scratch, "graph"), "label")
-    scratch.drop("pivots", "members", "texts", "judged", "open", "prefixes", "found")
+        label = scratch.write(components(links.unionByName(found), scratch, "graph"), "label")
+    scratch.drop("pivots", "members", "texts", "judged", "open", "prefixes", "near", "found")
     return mapped.join(label.withColumnRenamed("id", "node"), "node", "left").select(F.col("id").alias(id_col), F.coalesce("component", "node").alias("class_id"))
 
 
@@ -285,8 +289,10 @@ def _links(judged: DataFrame, similarity: float) -> DataFrame:
 
 
 def _prefixes(nodes: DataFrame, weights: Weights, similarity: float) -> DataFrame:
-    """(id, c, total, shingle) of the prefix of each node (id, c, text): its rarest shingles, up to where the rest weighs
-    less than the similarity's part of the total."""
+    """(id, c, total, rest, short, shingle) of the prefix of each node (id, c, text): its rarest shingles, up to where the rest
+    (a shingle and all behind it) weighs less than the similarity's part of the total. Short: the rest is enough for the
+    lighter one of two texts, which shares 2s / (1 + s) of its weight at least."""
+    lighter = 2 * similarity / (1 + similarity) - 1e-6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -298,36 +304,48 @@ def _prefixes(nodes: DataFrame, weights: Weights, similarity: float) -> DataFram
                 total = np.bincount(doc, w, minlength=t.n)
                 before = np.cumsum(w) - w
                 before -= before[np.searchsorted(doc, doc)]
-                at = np.flatnonzero(before <= (1 - similarity + 1e-6) * total[doc])
+                rest = total[doc] - before
+                at = np.flatnonzero(rest >= (similarity - 1e-6) * total[doc])
                 ids, comps = (b.column(i).slice(lo, hi - lo).take(pa.array(doc[at])) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([ids, comps, pa.array(total[doc[at]]), pa.array(sh[at].astype(np.int64))], names=["id", "c", "total", "shingle"])
+                short = rest[at] >= lighter * total[doc[at]]
+                yield pa.RecordBatch.from_arrays([ids, comps, pa.array(total[doc[at]]), pa.array(rest[at]), pa.array(short), pa.array(sh[at].astype(np.int64))], names=["id", "c", "total", "rest", "short", "shingle"])
 
-    return nodes.select("id", "c", "text").mapInArrow(run, "id long, c long, total double, shingle long")
+    return nodes.select("id", "c", "text").mapInArrow(run, "id long, c long, total double, rest double, short boolean, shingle long")
 
 
-def _left_open(members: DataFrame, pivots: DataFrame, label: DataFrame, texts: DataFrame, weights: Weights, similarity: float, scratch: Scratch) -> DataFrame:
-    """Links (u, v) between nodes of one bucket that the first comparisons left in different components."""
+def _left_open(members: DataFrame, pivots: DataFrame, label: DataFrame, texts: DataFrame, weights: Weights, similarity: float, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (u, v) between nodes of one bucket that the first comparisons left in different components; and, for what
+    these links leave open, the prefixes of shingles of many nodes, and the nodes' texts."""
     nodes = members.select("key", "id").unionByName(pivots.select("key", F.col("pivot").alias("id")))
     nodes = _with_component(nodes, label, "id", "c")
     several = nodes.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
     ids = nodes.join(several, "key", "left_semi").select("id", "c").distinct()
     opened = scratch.write(texts.select("id", "text").join(ids.hint("shuffle_hash"), "id"), "open")
     prefixes = scratch.write(_prefixes(opened, weights, similarity), "prefixes")
-    sizes = prefixes.groupBy("shingle").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
+    sizes = prefixes.groupBy("shingle").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.max("short").alias("any")).filter("low <> high AND any")
     few = prefixes.join(sizes.filter(F.col("n") <= PAIRED).select("shingle"), "shingle")
-    right = few.select("shingle", F.col("id").alias("pivot"), F.col("c").alias("c2"), F.col("total").alias("total2"))
-    pairs = few.join(right, "shingle").filter((F.col("id") > F.col("pivot")) & (F.col("c") != F.col("c2")) & (F.least("total", "total2") >= F.greatest("total", "total2") * (similarity - 1e-6)))
-    near = verify(pairs.select("id", "pivot").distinct(), opened, weights).filter(F.col("sim") >= similarity).select(F.col("id").alias("u"), F.col("pivot").alias("v"))
+    other = few.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("id", "c", "total", "rest")])
+    lighter = (F.col("total") < F.col("total2")) | ((F.col("total") == F.col("total2")) & (F.col("id") < F.col("id2")))
+    enough = F.least("rest", "rest2") >= (F.col("total") + F.col("total2")) * (similarity / (1 + similarity) - 1e-6)
+    pairs = few.filter("short").join(other, "shingle").filter(lighter & enough & (F.col("c") != F.col("c2")))
+    pairs = pairs.select(F.greatest("id", "id2").alias("id"), F.least("id", "id2").alias("pivot"))
     many = prefixes.join(sizes.filter(F.col("n") > PAIRED).select("shingle"), "shingle")
-    return near.unionByName(_settled(many, opened, weights, similarity)).distinct()
-
-
-def _settled(many: DataFrame, opened: DataFrame, weights: Weights, similarity: float) -> DataFrame:
-    """Links between the nodes (shingle, id, c) of each shingle, but for those within its largest component, in blocks of
-    about BLOCK_NODES nodes and BLOCK_BYTES bytes."""
-    sizes = many.groupBy("shingle", "c").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("shingle").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
-    full = many.select("shingle", "id", "c").join(opened.select("id", "text"), "id").join(main, "shingle")
+    cleanest = many.groupBy("shingle").agg(F.max_by(F.struct("id", "c", "total", "rest"), F.struct(F.col("rest") / F.col("total"), -F.col("id"))).alias("best"))
+    best = cleanest.select("shingle", *[F.col(f"best.{c}").alias(f"{c}2") for c in ("id", "c", "total", "rest")])
+    pairs = pairs.unionByName(many.join(best, "shingle").filter(enough & (F.col("c") != F.col("c2"))).select("id", F.col("id2").alias("pivot")))
+    return scratch.write(_links(verify(pairs.distinct(), opened, weights), similarity).distinct(), "near"), many, opened
+
+
+def _settled(many: DataFrame, label: DataFrame, opened: DataFrame, weights: Weights, similarity: float) -> DataFrame:
+    """Links between the nodes of each shingle whose nodes are still of several components, but for those within its largest
+    one, in blocks of about BLOCK_NODES nodes and BLOCK_BYTES bytes."""
+    many = _with_component(many.drop("c"), label, "id", "c")
+    sizes = many.groupBy("shingle", "c").agg(F.count("*").alias("n"), F.max("short").alias("any"), F.min("total").alias("least"))
+    main = sizes.groupBy("shingle").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("components"), F.max("any").alias("any"), F.min("least").alias("least"))
+    full = many.join(main.filter("components > 1 AND any").select("shingle", "main", "least"), "shingle")
+    # what a node can share must be enough with the lightest of the others at least
+    full = full.filter(F.col("rest") >= (F.col("total") + F.col("least")) * (similarity / (1 + similarity) - 1e-6)).select("shingle", "id", "c", "main")
+    full = full.join(opened.select("id", "text"), "id")
 
     def packed(rows: DataFrame, side: str) -> DataFrame:
         parts = F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("long")
@@ -342,11 +360,11 @@ def _settled(many: DataFrame, opened: DataFrame, weights: Weights, similarity: f
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     pairs = packed(full.filter("c <> main"), "a").join(packed(full, "b"), "shingle").select("a", "b")
-    return pairs.mapInArrow(run, "u long, v long")
+    return pairs.mapInArrow(run, "u long, v long").distinct()
 
 
 def linked(a: list[dict], b: list[dict], weights: Weights, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of two blocks, of different components."""
+    """Linked pairs of two blocks, of different components: for each node and other component one."""
     ids, comps = (np.array([x[k] for x in a + b], dtype=np.int64) for k in ("id", "c"))
     n = len(a)
     want = comps[:n, None] != comps[n:]
@@ -376,7 +394,9 @@ def linked(a: list[dict], b: list[dict], weights: Weights, similarity: float) ->
         left, right = (Texts([side[k]["text"].encode() for k in rows.tolist()]) for side, rows in ((a, i), (b, j)))
         keep.append(similarities(left, right, weights) >= similarity)
     ok = np.concatenate(keep) if keep else np.zeros(0, dtype=bool)
-    return ids[x[ok]], ids[n + y[ok]]
+    x, y = x[ok], n + y[ok]
+    _, one = np.unique(np.stack([ids[x], comps[y]]), axis=1, return_index=True)
+    return ids[x[one]], ids[y[one]]
 
 
 def _with_component(rows: DataFrame, label: DataFrame, col: str, name: str) -> DataFrame:
