@@ -412,11 +412,15 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class, with all its columns: that of the smallest id; rows without an id come last."""
-    keyed = Scratch(spark, "minhash-rows").write(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    out = classes(keyed.select("__row", "text"), "__row").join(keyed.select("__row", "doc_id"), "__row")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first")
-    keep = out.groupBy("class_id").agg(first).select("first.__row")
-    return keyed.join(keep.hint("shuffle_hash"), "__row", "left_semi").select(*docs.columns)
+    names = docs.columns
+    # renamed on the way in and out, lest the documents have columns of the names used here
+    inner = docs.toDF(*[f"d{i}" for i in range(len(names))])
+    keyed = Scratch(spark, "minhash-rows").write(inner.withColumn("row", F.monotonically_increasing_id()), "rows")
+    rows = keyed.select("row", F.col(f"d{names.index('doc_id')}").alias("doc_id"), F.col(f"d{names.index('text')}").alias("text"))
+    out = classes(rows.select("row", "text"), "row").join(rows.select("row", "doc_id"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+    keep = out.groupBy("class_id").agg(first).select("first.row")
+    return keyed.join(keep.hint("shuffle_hash"), "row", "left_semi").select(*inner.columns).toDF(*names)
 
 
 QUERIES = {"op2_minhash": op2_minhash}

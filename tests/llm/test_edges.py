@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from cairn.llm import catalog
+from tests.llm.conftest import CLASHES
 
 OPS = sorted(n for n in catalog.queries() if n.startswith("op"))
 PER_DOC = [n for n in OPS if n not in ("op7_topk", "op9_packing")]
@@ -39,6 +40,7 @@ def test_pipeline_edges(spark, edge, nothing):
         assert docs.columns == names
     rows = docs.toArrow().to_pylist()
     texts = [r["text"] for r in rows]
+    assert all(r[c] == "x" for r in rows for c in CLASHES)
     assert sum(t == edge_first(spark, edge) for t in texts) <= 1
     assert not any("abcdef0123456789" in (t or "") for t in texts)
     out = corpus_pipeline.run(spark, edge)
