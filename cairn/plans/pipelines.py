@@ -24,7 +24,7 @@ from cairn.functions import codec
 from cairn.functions.columns import cid_hex, lz4_compress, lz4_decompress, mime_type
 from cairn.operators import scan as scans
 from cairn.operators import store, tree, versions
-from cairn.session import Scratch
+from cairn.session import Scratch, task_count
 from cairn.sources import car, fstree, register
 
 NODE = "path string, kind string, cid string, size long, symlink_target string, mime_type string, codec string, created timestamp, modified timestamp"
@@ -206,7 +206,7 @@ def located(cids: DataFrame, *stores: Catalog) -> DataFrame:
 def fetch(rows: DataFrame) -> DataFrame:
     """The rows (cid, store, archive, offset, ...) with their content, each read by its offset alone; rows of one stretch of an
     archive are read together. A block of another cid is an error."""
-    placed = rows.repartition("archive", F.floor(F.col("offset") / RANGE_BYTES)).sortWithinPartitions("archive", "offset")
+    placed = rows.repartition(task_count(rows.sparkSession), "archive", F.floor(F.col("offset") / RANGE_BYTES)).sortWithinPartitions("archive", "offset")
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, content binary"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,9 +249,8 @@ def contents(catalog: Catalog, nodes: DataFrame, *more: Catalog) -> DataFrame:
 
 
 def scan(spark: SparkSession, directory: str) -> DataFrame:
-    """Entries of a directory with the cid of each file, hashed where it is read; bodies don't leave the reader."""
-    register(spark)
-    rows = spark.read.format("fstree").option("hash", "true").load(directory).drop("content")
+    """Entries of a directory with the cid of each file, hashed where it is read; bodies stay there."""
+    rows = fstree.hashed(fstree.walk(spark, directory, Scratch(spark, "walk")), directory)
     rows = rows.withColumn("size", F.when(F.col("kind") == "file", F.col("len")).otherwise(0))
     return rows.withColumn("mime_type", F.when(F.col("kind") == "file", mime_type(F.col("path"))))
 

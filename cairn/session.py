@@ -57,6 +57,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def task_count(spark: SparkSession) -> int:
+    """Tasks for rows that stand for much work each, such as paths of files: adaptive execution, which sees small rows alone,
+    would put them into one task, but leaves a number that is asked for as it is."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 BATCH_BYTES = 8 << 20
 
 

@@ -15,13 +15,14 @@ from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from cairn.errors import CairnError, MissingBlock
 from cairn.functions import codec
 from cairn.schemas import SCAN
+from cairn.session import Scratch, task_count
 
 
 PIECE = 4 << 20
@@ -100,6 +101,43 @@ def cid_of(full: str) -> str:
     return codec.cid_v1(digest.digest()).hex()
 
 
+ENTRY = SCAN.names[:-2]
+
+
+def walk(spark: SparkSession, root: str, scratch: Scratch) -> DataFrame:
+    """All entries below a root without content and cid, level by level: each level's directories are listed by as many
+    tasks, so neither a deep subtree nor the driver holds the others up."""
+    root = local(root)
+    reader, schema = TreeReader(root, False), StructType(SCAN.fields[:-2])
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path in pdf["path"]:
+                names = sorted(os.listdir(os.path.join(root, path)))
+                for i in range(0, len(names), 10_000):
+                    rows = [reader._row(f"{path}/{n}" if path else n)[:-2] for n in names[i : i + 10_000]]
+                    yield pd.DataFrame(rows, columns=ENTRY)
+
+    level, found, depth = spark.createDataFrame([("",)], "path string"), None, 0
+    while found is None or not level.isEmpty():
+        entries = scratch.write(level.repartition(task_count(spark) if depth else 1, "path").mapInPandas(listed, schema), f"level-{depth}")
+        found = entries if found is None else found.unionByName(entries)
+        level, depth = entries.filter("kind = 'dir'").select("path"), depth + 1
+    return found
+
+
+def hashed(entries: DataFrame, root: str) -> DataFrame:
+    """The entries with the cid of each file, file by file in as many tasks."""
+    root = local(root)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(cid=[cid_of(os.path.join(root, p)) if k == "file" else None for p, k in zip(pdf["path"], pdf["kind"], strict=True)])
+
+    dealt = entries.repartition(task_count(entries.sparkSession), "path")
+    return dealt.mapInPandas(run, StructType([*entries.schema.fields, SCAN["cid"]]))
+
+
 def bodies(files: DataFrame, root: str) -> DataFrame:
     """(cid, content) of files (path, cid) below a root; a file that isn't what its cid says any more is an error."""
     root = local(root)
@@ -113,7 +151,8 @@ def bodies(files: DataFrame, root: str) -> DataFrame:
                     raise CairnError(f"{path} has changed while it was read")
                 yield pd.DataFrame({"cid": [cid], "content": [body]})
 
-    return files.select("path", "cid").mapInPandas(read, "cid string, content binary")
+    dealt = files.select("path", "cid").repartition(task_count(files.sparkSession), "path")
+    return dealt.mapInPandas(read, "cid string, content binary")
 
 
 def relative_target(root: str, link: str) -> str:
