@@ -8,8 +8,8 @@ Defined cases: a null text counts as empty; an empty text has no spans and the s
 rows and copies get the same findings; null ids are kept; an empty table gives no rows; other columns are not read.
 Texts are read whole, and spans are code points with the end excluded.
 
-Only blob addresses are grouped, with map-side sums. If no more than FEW blobs are unseen their addresses go to where the
-texts are read, and nothing moves; else texts move once, by blob and the id of the version to be scanned, and rows that
+Only blob addresses are grouped, with map-side sums. Where a run adds little to what was scanned before (a tenth of its
+blobs are unseen, and FEW at most) their addresses go to where the texts are read, and nothing moves; else texts move once, by blob and the id of the version to be scanned, and rows that
 repeat an id and a text are reduced to one before they move, so a blob that holds a third of all rows doesn't gather in
 one task. Findings come back the same way: by broadcast up to FEW rows and FEW_BYTES, else by a join on salted blobs.
 """
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -117,12 +117,14 @@ class Ledger:
         at = F.xxhash64("id").alias("at")  # never null, unlike the id
         done = self.blobs().filter(F.col("rule_version") == rule_version)
         first = paths.groupBy("blob", at).agg(F.count("*").alias("n")).groupBy("blob").agg(F.min(F.struct("at", "n")).alias("v"))
+        all_blobs = Observation()
+        first = first.observe(all_blobs, F.count(F.lit(1)).alias("n"))
         unseen = scratch.write(first.join(done, "blob", "left_anti").select("blob", "v.at", "v.n"), "unseen")
         rows, most = unseen.agg(F.count("*"), F.max("n")).head()
         if rows:
             texts, wanted = versions.select(at, "blob", "text"), unseen.select("at", "blob")
             once = (lambda df: df) if most == 1 else (lambda df: df.dropDuplicates(["at", "blob"]))
-            if rows <= FEW:
+            if rows <= min(FEW, all_blobs.get["n"] // 10):
                 texts = once(texts.join(F.broadcast(wanted), ["at", "blob"], "left_semi"))
             else:
                 texts = once(texts).join(wanted.hint("shuffle_hash"), ["at", "blob"], "left_semi")

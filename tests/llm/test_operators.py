@@ -157,6 +157,12 @@ def test_op4_rows_that_repeat_an_id_and_a_text(spark, monkeypatch):
         ledger = op4_secrets.Ledger(spark, Scratch(spark, "test").root)
         got.append(sorted((str(r["doc_id"]), r["spans"] or "") for r in table(ledger.scan(docs))))
         assert ledger.blobs().count() == 3
+        # a run that adds little
+        old = spark.createDataFrame([(10 + i, prose(i, 5)) for i in range(40)] + [(None, SECRETS[4])] * 3, docs.schema)
+        ledger.scan(old)
+        more = spark.createDataFrame([(99, SECRETS[3]), (99, SECRETS[3])], docs.schema)
+        both = {r["doc_id"]: r["spans"] or "" for r in table(ledger.scan(docs.unionByName(old).unionByName(more)))}
+        assert both[99] == op4_secrets.scan_block(Texts([SECRETS[3].encode()]))["spans"][0].as_py() != "" and ledger.blobs().count() == 45
     want = sorted((str(i), op4_secrets.scan_block(Texts([(x or "").encode()]))["spans"][0].as_py()) for i, x in rows)
     assert got == [want, want]
 
