@@ -32,6 +32,7 @@ from cairn.llm.wordcache import WordCache, gather
 
 RATE = 0.1
 SEED = 10
+BLOCK_BYTES = 2 << 20  # units of a larger block that aren't in the cache share their agenda steps
 CACHED_BYTES, CACHED_SKIPS = 24, 3  # places within a cached unit have 6 bits
 SPACE_MARK = "▁"
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 20, 24, 32, 48)
@@ -325,7 +326,7 @@ def encode(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED, id_
         ids, n = codec(path, rate, seed).encode(_texts(t))
         return {"ids": ragged(ids, n)}
 
-    return text_map(docs, [id_col], text_col, "ids array<int>", fn)
+    return text_map(docs, [id_col], text_col, "ids array<int>", fn, BLOCK_BYTES)
 
 
 def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -366,7 +367,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
 
     docs = read_table(spark, sf_dir, "documents")
-    return text_map(docs, ["doc_id"], "text", "n_ids long, ids_crc32 long, decoded_crc32 long, lossless boolean", fn)
+    return text_map(docs, ["doc_id"], "text", "n_ids long, ids_crc32 long, decoded_crc32 long, lossless boolean", fn, BLOCK_BYTES)
 
 
 QUERIES = {"op10_sentencepiece": op10_sentencepiece}

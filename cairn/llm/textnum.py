@@ -160,13 +160,13 @@ def raw_texts(col: pa.Array) -> list[bytes]:
     return pc.fill_null(col.cast(pa.large_binary()), b"").to_pylist()
 
 
-def blocks(col: pa.Array) -> Iterator[tuple[int, int, Texts]]:
+def blocks(col: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int, Texts]]:
     """First row, row after the last, and the texts of each block of a column."""
     n = len(col)
     sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64) if n else []
     at = size = 0
     for i in range(n):
-        if i > at and (size + sizes[i] > BLOCK or i - at >= BLOCK_ROWS):
+        if i > at and (size + sizes[i] > most or i - at >= BLOCK_ROWS):
             yield at, i, Texts(raw_texts(col.slice(at, i - at)))
             at, size = i, 0
         size += sizes[i] + 1
@@ -174,7 +174,7 @@ def blocks(col: pa.Array) -> Iterator[tuple[int, int, Texts]]:
         yield at, n, Texts(raw_texts(col.slice(at, n - at)))
 
 
-def text_map(df: DataFrame, keep: list[str], text: str, fields: str, fn: Callable[[Texts], dict]) -> DataFrame:
+def text_map(df: DataFrame, keep: list[str], text: str, fields: str, fn: Callable[[Texts], dict], most: int = BLOCK) -> DataFrame:
     """keep's columns and what fn returns for each block: a dict of arrays, a value for each text."""
     new = StructType.fromDDL(fields)
     schema = StructType([StructField(c, df.schema[c].dataType) for c in keep] + list(new.fields))
@@ -185,7 +185,7 @@ def text_map(df: DataFrame, keep: list[str], text: str, fields: str, fn: Callabl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept = [b.column(i) for i in range(len(keep))]
-            for lo, hi, texts in blocks(b.column(at)):
+            for lo, hi, texts in blocks(b.column(at), most):
                 out = fn(texts)
                 cols = [c.slice(lo, hi - lo) for c in kept]
                 cols += [out[k] if isinstance(out[k], pa.Array) else pa.array(out[k]) for k in names]
