@@ -1,20 +1,21 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Vectors are range-partitioned by length and packed into buckets of similar length. A first pass over each dimension's
-longest bucket gives every query a lower bound of its k-th score. A block of queries then meets only the ranges whose
-longest vector can still reach a query's bound; within a bucket the bound and the bucket's longest vector give a
-local cosine threshold, and each query prunes by it: a threshold above one ends the bucket, a high one prunes by
-coordinate (the query's largest one confines the same coordinate of every vector within the angle), a low one by
-length. The integer products of what is left are exact.
+Vectors are range-partitioned by length into sections and packed into buckets of similar length. A first pass over each
+dimension's longest bucket gives every query a lower bound of its k-th row. Queries are packed into blocks, and those into
+groups that a task can hold; a group meets only the sections whose longest vector can still reach a query's bound, and
+keeps its best rows while their buckets stream by, longest first, so that bounds rise. Within a bucket the bound and the
+bucket's longest vector give a local cosine threshold, and each query prunes by it: a threshold above one ends the bucket,
+a high one prunes by coordinate (the query's largest one confines the same coordinate of every vector within the angle)
+where that leaves few vectors, else length prunes. What is left of a block and a bucket is one exact integer product.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; a query meets vectors of
 its own dimension only and never its own row number; empty vectors score 0; equal vectors and repeated ids are rows of
 their own, ties go to the smaller id; null ids take no part; an empty table gives no rows. Components are read as
-doubles, multiplied by 256 and rounded down; products that doubles hold exactly use them, larger ones exact integers, and a
-product beyond 64 bits counts as the largest or smallest such number.
+doubles, multiplied by 256 and rounded down; products that floats of 32 or 64 bits hold exactly use them, larger ones exact
+integers, and a product beyond 64 bits counts as the largest or smallest such number.
 
 Equal lengths are split by id, so no bucket or task grows with the number of equal vectors. Query blocks times
-buckets is work that the contract asks for; what moves is whole blocks of vectors, never pairs.
+buckets is work that the contract asks for; what moves is each section once for a group and each group once for a section.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,14 +32,45 @@ from pyspark.sql import functions as F
 from cairn.llm.common import Scratch, read_table, small_batches
 
 BUCKET = 1_024
-PART_BUCKETS = 32
-QUERY_BLOCK = 256
+QUERY_BLOCK = 1_024
+SECTION_BUCKETS = 256  # at most, so a task's input is bounded
+GROUP_BYTES = 32 << 20  # of a group's queries as 32-bit floats
+CELLS = 64
+PARTITIONS = 2_000
 K = 5
 SALTS = 16
 COSINE = 0.6
 SLACK = 1e-9
+_FLOOR, _LAST = -(1 << 63), (1 << 63) - 1
+_ROWS = "id long, x binary, q boolean, dim int, norm double"
 _PACKED = "part int, bucket long, dim int, most double, ids binary, vectors binary"
-_EXACT = float(1 << 53)
+_BOUNDED = "part int, block long, dim int, most double, ids binary, vectors binary, lows binary, least_norm double"
+_EXACT_32, _EXACT = float(1 << 24), float(1 << 53)
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+def _integers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, vector, q) as integer components, 16 bits each where those of the batch fit, with dimension and length."""
+    for b in batches:
+        vector = b.column(1)
+        sizes = np.asarray(vector.value_lengths().fill_null(0)).astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        flat = vector.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        odd = ~np.isfinite(flat)
+        odds = np.concatenate([[0], np.cumsum(odd)])
+        keep = np.asarray(vector.is_valid()) & (odds[at[1:]] == odds[at[:-1]])
+        with np.errstate(over="ignore"):
+            x = np.clip(np.floor(np.where(odd, 0.0, flat) * 256), -float(1 << 63), float(1 << 63))
+        norm, some = np.zeros(len(sizes)), sizes > 0
+        if some.any():
+            norm[some] = np.sqrt(np.add.reduceat(x * x, at[:-1][some]))
+        x = x.astype(np.int16) if np.abs(x).max(initial=0) < 1 << 15 else x
+        raw = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((at * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+        cols = [b.column(0), raw, b.column(2), pa.array(sizes.astype(np.int32)), pa.array(norm)]
+        yield pa.RecordBatch.from_arrays(cols, names=_names(_ROWS)).filter(pa.array(keep))
 
 
 def _packed(rows: DataFrame, parts: int, size: int) -> DataFrame:
@@ -46,44 +79,55 @@ def _packed(rows: DataFrame, parts: int, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, no = TaskContext.get().partitionId(), 0
         for b in batches:
-            dims, norms = b.column(2).to_numpy(), b.column(3).to_numpy()
-            ids, flat = b.column(0).to_numpy(), b.column(1).flatten().to_numpy()
-            at = np.concatenate([[0], np.cumsum(dims.astype(np.int64))])
+            ids, xs, dims, norms = b.column(0).to_numpy(), b.column(1), b.column(2).to_numpy(), b.column(3).to_numpy()
+            wide = np.asarray(pc.binary_length(xs)) != 2 * dims
+            ends = np.append(np.flatnonzero(np.diff(dims)) + 1, len(dims))
             lo = 0
             while lo < len(dims):
-                hi = lo + 1
-                while hi < len(dims) and hi - lo < size and dims[hi] == dims[lo]:
-                    hi += 1
-                cols = [[here], [(here << 32) | no], [int(dims[lo])], [float(norms[lo:hi].max())], [ids[lo:hi].tobytes()], [flat[at[lo] : at[hi]].tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.binary()), strict=True)], names=[f.split()[0] for f in _PACKED.split(", ")])
+                hi = int(min(lo + size, ends[np.searchsorted(ends, lo, side="right")]))
+                if wide[lo:hi].any():
+                    x = b"".join(np.frombuffer(v, np.float64 if w else np.int16).astype(np.float64).tobytes() for v, w in zip(xs[lo:hi].to_pylist(), wide[lo:hi], strict=True))
+                else:
+                    x = b"".join(xs[lo:hi].to_pylist())
+                cols = [[here], [(here << 32) | no], [int(dims[lo])], [float(norms[lo:hi].max())], [ids[lo:hi].tobytes()], [x]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.binary()), strict=True)], names=_names(_PACKED))
                 lo, no = hi, no + 1
 
     ordered = rows.repartitionByRange(parts, "dim", F.desc("norm"), "id").sortWithinPartitions("dim", F.desc("norm"), "id")
     return ordered.select("id", "x", "dim", "norm").mapInArrow(run, _PACKED)
 
 
-def _unpack(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    i = np.frombuffer(ids, dtype=np.int64)
-    return i, np.frombuffer(vectors, dtype=np.float64).reshape(len(i), dim)
-
+class Vectors:
+    """Packed vectors of one dimension, longest first, equal lengths by id."""
 
-def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Exact integer inner products (queries, vectors)."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * max(1, q.shape[1])
-    if most < _EXACT:
-        return (q @ v.T).astype(np.int64)
+    def __init__(self, ids: bytes, vectors: bytes, dim: int):
+        i = np.frombuffer(ids, dtype=np.int64)
+        x = np.frombuffer(vectors, dtype=np.int16 if len(vectors) == 2 * dim * len(i) else np.float64).reshape(len(i), dim).astype(np.float64)
+        norm = np.sqrt((x * x).sum(axis=1))
+        order = np.lexsort((i, -norm))
+        self.ids, self.norm, self.dim = i[order], norm[order], dim
+        self.most = float(self.norm[0]) if len(i) else 0.0
+        # 32-bit floats where they hold every component
+        self.x = x[order].astype(np.float32 if self.most < _EXACT_32 else np.float64)
+
+
+def _products(q: np.ndarray, v: np.ndarray, reach: float) -> np.ndarray:
+    """Exact integer inner products (queries, vectors); reach: the largest product of their lengths. No sum of some of a
+    product's terms is beyond it, so floats that hold it are exact in any order."""
+    if reach < _EXACT_32 and q.dtype == v.dtype == np.float32:
+        return q @ v.T
+    if reach < _EXACT * (1 - SLACK):
+        return q.astype(np.float64) @ v.T.astype(np.float64)
     as_ints = lambda m: np.array([[int(x) for x in row] for row in m], dtype=object).reshape(m.shape)
-    return np.clip(as_ints(q) @ as_ints(v).T, -(1 << 63), (1 << 63) - 1).astype(np.int64)
+    return np.clip(as_ints(q) @ as_ints(v).T, _FLOOR, _LAST).astype(np.int64)
 
 
-class Bucket:
+class Bucket(Vectors):
     """A bucket's vectors with what its local pruning needs, made when first used."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        norm = np.sqrt((x * x).sum(axis=1))
-        order = np.lexsort((ids, -norm))
-        self.ids, self.x, self.norm = ids[order], x[order], norm[order]
-        self.most = float(self.norm[0]) if len(norm) else 0.0
+    def __init__(self, ids: bytes, vectors: bytes, dim: int):
+        super().__init__(ids, vectors, dim)
+        self.least_id = int(self.ids.min())
         self._unit: np.ndarray | None = None
         self._lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -96,73 +140,157 @@ class Bucket:
             self._lists[f] = self._unit[order, f], order
         return self._lists[f]
 
-    def candidates(self, q: np.ndarray, q_norm: float, bound: float) -> np.ndarray:
-        """Rows that can score at least bound with q; bound is positive."""
-        reach = q_norm * self.most
-        local = bound / reach if reach else np.inf
-        if local > 1 + SLACK:
-            return np.zeros(0, dtype=np.int64)
-        longest = int(np.searchsorted(-self.norm, -(bound / q_norm) * (1 - SLACK), side="right"))
-        if local < COSINE:
-            return np.arange(longest)
-        f = int(np.abs(q).argmax())
-        a = q[f] / q_norm
-        spread = np.sqrt(max(0.0, 1 - min(local, 1.0) ** 2) * max(0.0, 1 - a * a))
-        low, high = a * min(local, 1.0) - spread - SLACK, a * min(local, 1.0) + spread + SLACK
+    def within(self, f: np.ndarray, a: np.ndarray, local: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of queries with largest coordinate f, a of the unit vector: from where to where the lists of f hold what is within
+        the angle of cosine local."""
+        local = np.minimum(local, 1.0)
+        spread = np.sqrt((1 - local * local) * np.maximum(0.0, 1 - a * a)) + SLACK
         # beyond the angle's own reach every value on that side is allowed
-        high = np.inf if a >= min(local, 1.0) - SLACK else high
-        low = -np.inf if a <= -min(local, 1.0) + SLACK else low
-        values, order = self.by_coordinate(f)
-        found = order[np.searchsorted(values, low, side="left") : np.searchsorted(values, high, side="right")]
-        return found[found < longest]
+        high = np.where(a >= local - SLACK, np.inf, a * local + spread)
+        low = np.where(a <= -local + SLACK, -np.inf, a * local - spread)
+        start, end = np.zeros(len(f), dtype=np.int64), np.zeros(len(f), dtype=np.int64)
+        for c in np.unique(f).tolist():
+            values, at = self.by_coordinate(c)[0], f == c
+            start[at], end[at] = np.searchsorted(values, low[at], side="left"), np.searchsorted(values, high[at], side="right")
+        return start, end
+
+
+class Block(Vectors):
+    """A block of queries with the best k rows met so far. A row counts where its score is above low, or is low with an id
+    of at most low_id."""
+
+    def __init__(self, ids: bytes, vectors: bytes, dim: int, k: int, lows: bytes | None = None):
+        packed = np.frombuffer(ids, dtype=np.int64)
+        super().__init__(ids, vectors, dim)
+        n, self.k = len(packed), k
+        self.low, self.low_id = np.full(n, _FLOOR), np.full(n, _LAST)
+        if lows:
+            self.low, self.low_id = np.frombuffer(lows, dtype=np.int64).reshape(2, n).copy()
+        self.free, self.score, self.row = np.ones((n, k), dtype=bool), np.full((n, k), _FLOOR), np.full((n, k), _LAST)
+        self.focus = np.abs(self.x).argmax(axis=1) if dim else np.zeros(n, dtype=np.int64)
+        self.share = self.x[np.arange(n), self.focus] / np.maximum(self.norm, 1e-300) if dim else np.zeros(n)
+
+    def least_norm(self) -> float:
+        """No vector shorter than this counts for any of the queries."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            need = np.where((self.low > 0) & (self.norm > 0), self.low / self.norm, 0.0)
+        return float(need.min(initial=np.inf)) * (1 - SLACK)
+
+    def add(self, who: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Rows (query's place, id, score) that may be among the best."""
+        fine = (ids != self.ids[who]) & ((scores > self.low[who]) | (scores == self.low[who]) & (ids <= self.low_id[who]))
+        if not fine.any():
+            return
+        u, inv = np.unique(who[fine], return_inverse=True)
+        r = np.concatenate([np.repeat(np.arange(len(u)), self.k), inv])
+        free = np.concatenate([self.free[u].ravel(), np.zeros(len(inv), dtype=bool)])
+        i, s = np.concatenate([self.row[u].ravel(), ids[fine]]), np.concatenate([self.score[u].ravel(), scores[fine]])
+        order = np.lexsort((i, ~s, free, r))  # ~s falls as s grows, and never overflows
+        place = np.arange(len(r)) - np.searchsorted(r[order], np.arange(len(u)))[r[order]]
+        best = order[place < self.k].reshape(len(u), self.k)
+        self.free[u], self.row[u], self.score[u] = free[best], i[best], s[best]
+        full = u[~self.free[u, -1]]
+        self.low[full], self.low_id[full] = self.score[full, -1], self.row[full, -1]
+
+    def meet(self, bucket: Bucket) -> None:
+        reach, low = self.norm * bucket.most, self.low.astype(np.float64)
+        alive = (low <= reach * (1 + SLACK)) | (low <= 0)
+        if not alive.any():
+            return
+        local = np.divide(low, reach, out=np.zeros_like(low), where=reach > 0)
+        sharp = np.flatnonzero(alive & (low > 0) & (local >= COSINE))
+        if len(sharp) and self.most * bucket.most < _EXACT * (1 - SLACK):
+            start, end = bucket.within(self.focus[sharp], self.share[sharp].astype(np.float64), local[sharp])
+            few = np.flatnonzero((end - start) * 32 <= len(bucket.ids))  # else the whole product is cheaper
+            alive[sharp[few]] = False
+            n = (end - start)[few]
+            if n.sum():
+                who, at = np.repeat(sharp[few], n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[few], n)
+                focus, rows = self.focus[who], np.empty(len(who), dtype=np.int64)
+                for c in np.unique(focus).tolist():
+                    rows[focus == c] = bucket.by_coordinate(c)[1][at[focus == c]]
+                long = bucket.norm[rows] * self.norm[who] * (1 + SLACK) >= low[who]
+                who, rows = who[long], rows[long]
+                self.add(who, bucket.ids[rows], np.einsum("ij,ij->i", self.x[who].astype(np.float64), bucket.x[rows].astype(np.float64)).astype(np.int64))
+        who = np.flatnonzero(alive)
+        if not len(who):
+            return
+        # vectors too short for every query that is left are a bucket's end
+        need = np.divide(low[who], self.norm[who], out=np.zeros(len(who)), where=(low[who] > 0) & (self.norm[who] > 0)).min()
+        longest = int(np.searchsorted(-bucket.norm, -need * (1 - SLACK), side="right"))
+        if not longest:
+            return
+        s = _products(self.x if len(who) == len(self.x) else self.x[who], bucket.x[:longest], self.most * bucket.most)
+        best, low = s.max(axis=1), self.low[who].astype(s.dtype)
+        hit = np.flatnonzero((best > low) | (best == low) & (self.low_id[who] >= bucket.least_id))
+        if not len(hit):
+            return
+        s, who, low, ids = s[hit] if len(hit) < len(s) else s, who[hit], low[hit], bucket.ids[:longest]
+        above = s >= low[:, None]
+        if above.sum() > 16 * len(hit):
+            # of a query without a bound yet, or of equal scores, only the best leave the bucket
+            s, above = s.astype(np.int64), s.astype(np.int64)
+            above[ids[None, :] == self.ids[who][:, None]] = _FLOOR
+            for r in range(len(hit)):
+                top = _top(ids, above[r], self.k)
+                top = top[ids[top] != self.ids[who[r]]]
+                self.add(np.full(len(top), who[r]), ids[top], s[r, top])
+            return
+        r, c = np.nonzero(above)
+        self.add(who[r], ids[c], s[r, c].astype(np.int64))
 
 
 def _top(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     if len(ids) > 4 * k:
-        kth = -np.partition(-scores, k - 1)[k - 1]
+        kth = np.partition(scores, len(scores) - k)[len(scores) - k]
         keep = np.flatnonzero(scores >= kth)
     else:
         keep = np.arange(len(ids))
-    return keep[np.lexsort((ids[keep], -scores[keep]))[:k]]
+    return keep[np.lexsort((ids[keep], ~scores[keep]))[:k]]
 
 
-def _meet(pairs: DataFrame, k: int, bounds_only: bool) -> DataFrame:
-    """For rows of (query block, bucket): each query's best rows there, or the k-th score as its bound."""
-    schema = "query_id long, bound long" if bounds_only else "query_id long, vec_id long, score long"
+def _bounded(pairs: DataFrame, k: int) -> DataFrame:
+    """For rows of (query block, first bucket of its dimension): the block with its queries' k-th rows there as bounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, Bucket] | None = None
         for b in batches:
             for r in b.to_pylist():
-                q_ids, q = _unpack(r["q_ids"], r["q_vectors"], r["dim"])
-                bounds = np.frombuffer(r["q_bounds"], dtype=np.float64) if r["q_bounds"] else np.full(len(q_ids), -np.inf)
-                if last is None or last[0] != r["bucket"]:
-                    last = r["bucket"], Bucket(*_unpack(r["ids"], r["vectors"], r["dim"]))
-                bucket, norms = last[1], np.sqrt((q * q).sum(axis=1))
-                out: list[tuple[int, int, int]] = []
-                whole = np.flatnonzero(~(bounds > 0) | (norms == 0))
-                if len(whole):
-                    every = _products(q[whole], bucket.x)
-                for n, i in enumerate(whole.tolist()):
-                    rows = np.flatnonzero((bucket.ids != q_ids[i]) & (every[n] >= bounds[i]))
-                    best = _top(bucket.ids[rows], every[n][rows], k)
-                    out += [(int(q_ids[i]), int(bucket.ids[rows[j]]), int(every[n][rows[j]])) for j in best]
-                for i in np.flatnonzero((bounds > 0) & (norms > 0)).tolist():
-                    rows = bucket.candidates(q[i], float(norms[i]), float(bounds[i]))
-                    rows = rows[bucket.ids[rows] != q_ids[i]]
-                    if len(rows):
-                        s = _products(q[i : i + 1], bucket.x[rows])[0]
-                        rows, s = rows[s >= bounds[i]], s[s >= bounds[i]]
-                        out += [(int(q_ids[i]), int(bucket.ids[rows[j]]), int(s[j])) for j in _top(bucket.ids[rows], s, k)]
-                if bounds_only:
-                    by: dict[int, list[int]] = {}
-                    for who, _, s in out:
-                        by.setdefault(who, []).append(s)
-                    out = [(who, min(s)) for who, s in by.items() if len(s) >= k]
-                cols = list(zip(*out, strict=True)) or [()] * (2 if bounds_only else 3)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[f.split()[0] for f in schema.split(", ")])
-
-    return pairs.mapInArrow(run, schema)
+                block = Block(r["ids"], r["vectors"], r["dim"], k)
+                block.meet(Bucket(r["seed_ids"], r["seed_vectors"], r["dim"]))
+                x = block.x.astype(np.int16) if np.abs(block.x).max(initial=0) < 1 << 15 else block.x.astype(np.float64)
+                cols = [[r["part"]], [r["block"]], [r["dim"]], [block.most], [block.ids.tobytes()], [x.tobytes()], [np.stack([block.low, block.low_id]).tobytes()], [block.least_norm()]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.float64()), strict=True)], names=_names(_BOUNDED))
+
+    return pairs.mapInArrow(run, _BOUNDED)
+
+
+def _meet(cells: DataFrame, k: int) -> DataFrame:
+    """Of cells, each a group's query blocks followed by a section's buckets: the best k rows of each query there."""
+    schema = "query_id long, vec_id long, score long"
+
+    def best(blocks: dict[int, list[Block]]) -> Iterator[pa.RecordBatch]:
+        for x in (x for same in blocks.values() for x in same):
+            who, at = np.nonzero(~x.free)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x.ids[who], x.row[who, at], x.score[who, at])], names=_names(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, blocks = None, {}
+        for b in batches:
+            for i in range(b.num_rows):
+                here, is_bucket, dim = (b.column(c)[i].as_py() for c in ("cell", "is_bucket", "dim"))
+                ids, vectors, lows = (b.column(c)[i].as_py() for c in ("ids", "vectors", "lows"))
+                if here != cell:
+                    yield from best(blocks)
+                    cell, blocks = here, {}
+                if is_bucket:
+                    bucket = Bucket(ids, vectors, dim)
+                    for block in blocks.get(dim, []):
+                        block.meet(bucket)
+                else:
+                    blocks.setdefault(dim, []).append(Block(ids, vectors, dim, k, lows))
+        yield from best(blocks)
+
+    return cells.mapInArrow(run, schema)
 
 
 def top_k(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -170,58 +298,39 @@ def top_k(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vect
     spark = vectors.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "topk")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    x = F.transform(F.col(vector_col), lambda v: F.floor(v.cast("double") * 256).cast("double"))
-    fine = F.col(vector_col).isNotNull() & F.forall(F.col(vector_col), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
-    rows = vectors.filter(F.col(id_col).isNotNull() & F.coalesce(fine, F.lit(False)))
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), x.alias("x"), is_query.alias("q"))
-    rows = rows.select("id", "x", "q", F.size("x").alias("dim"), F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)).alias("norm"))
-    rows = scratch.write(rows, "rows")
-    parts = max(parts, -(-rows.count() // (BUCKET * PART_BUCKETS)))  # a part's buckets don't grow with the table
-    buckets = scratch.write(_packed(rows, parts, BUCKET), "buckets")
-    queries = scratch.write(_packed(rows.filter("q"), parts, QUERY_BLOCK), "queries").select(
-        F.col("bucket").alias("block"), "dim", F.col("most").alias("q_most"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")
-    )
+    x = F.col(vector_col) if vectors.schema[vector_col].dataType.simpleString() in ("array<float>", "array<double>") else F.col(vector_col).cast("array<double>")
+    rows = vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), x.alias("x"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    rows = scratch.write(rows.mapInArrow(_integers, _ROWS), "rows")
+    n, query_bytes = rows.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("q"), 4 * F.col("dim").cast("long"))), F.lit(0))).first()
+    # a group's queries and a section's buckets don't grow with the table; a section is moved once for each group, and a group for each section
+    groups = max(1, -(-query_bytes // GROUP_BYTES))
+    n_buckets = max(1, -(-n // BUCKET))
+    sections = -(-n_buckets // max(1, min(SECTION_BUCKETS, n_buckets * groups // CELLS)))
+    buckets = scratch.write(_packed(rows, sections, BUCKET), "buckets")
+    queries = scratch.write(_packed(rows.filter("q"), max(groups, min(CELLS, -(-query_bytes // (1 << 20)))), QUERY_BLOCK), "queries").withColumnRenamed("bucket", "block")
+    scratch.drop("rows")
     # the first pass: each dimension's longest bucket
     first = buckets.groupBy("dim").agg(F.max_by("bucket", F.struct("most", -F.col("bucket"))).alias("bucket"))
-    seeds = buckets.join(first, ["dim", "bucket"], "left_semi")
+    seeds = buckets.join(first, ["dim", "bucket"], "left_semi").select("dim", F.col("ids").alias("seed_ids"), F.col("vectors").alias("seed_vectors"))
     seeds = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # few dimensions are no few tasks
     salted = queries.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int"))
-    pairs = salted.join(seeds, ["dim", "salt"]).withColumn("q_bounds", F.lit(None).cast("binary"))
-    bounds = scratch.write(_meet(pairs, k, True).groupBy("query_id").agg(F.max("bound").alias("bound")), "bounds")
-    # bounds of a block's queries, in the block's order
-    member = queries.select("block", "q_ids").mapInArrow(_members, "block long, place int, query_id long")
-    listed = member.join(bounds, "query_id", "left").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "bound"))).alias("b"))
-    bounded = queries.join(listed, "block").mapInArrow(_attach, "block long, dim int, q_most double, q_ids binary, q_vectors binary, q_bounds binary, least_norm double")
-    bounded = scratch.write(bounded, "bounded")
-    # a block meets the parts whose longest vector reaches the least bound of its queries: at most a row for each part
-    reach = buckets.groupBy("dim", "part").agg(F.max("most").alias("part_most"))
-    reach = reach.groupBy("dim").agg(F.collect_list(F.struct("part", "part_most")).alias("all"))
-    meets = bounded.join(F.broadcast(reach), "dim").select("block", "dim", "least_norm", "q_ids", "q_vectors", "q_bounds", F.explode(F.filter("all", lambda r: r["part_most"] * (1 + SLACK) >= F.col("least_norm"))["part"]).alias("part"))
-    # of these parts only the buckets that reach it leave the join
-    near = meets.join(buckets, ["dim", "part"]).filter(F.col("most") * (1 + SLACK) >= F.col("least_norm")).drop("least_norm")
-    found = _meet(near, k, False)
+    bounded = scratch.write(_bounded(salted.join(seeds, ["dim", "salt"]), k), "bounded")
+    parts = bounded.agg(F.max("part")).first()[0] or 0
+    blocks = bounded.withColumn("group", F.floor(F.col("part") * groups / (parts + 1)).cast("int"))
+    # a group meets the sections whose longest vector reaches the least bound of its queries, and of these the buckets that do
+    asks = blocks.groupBy("group", "dim").agg(F.min("least_norm").alias("least"))
+    reach = buckets.groupBy(F.col("part").alias("section"), "dim").agg(F.max("most").alias("section_most"))
+    near = lambda most, least: F.col(most) * (1 + SLACK) >= F.col(least)
+    cell = (F.col("group").cast("long") * sections + F.col("section")).alias("cell")
+    asking = blocks.join(F.broadcast(reach), "dim").filter(near("section_most", "least_norm"))
+    asked = buckets.withColumnRenamed("part", "section").join(F.broadcast(asks), "dim").filter(near("most", "least"))
+    cells = asking.select(cell, F.lit(False).alias("is_bucket"), F.col("block").alias("no"), "dim", "ids", "vectors", "lows").union(
+        asked.select(cell, F.lit(True), "bucket", "dim", "ids", "vectors", F.lit(None).cast("binary"))
+    )
+    tasks = min(PARTITIONS, groups * sections)
+    cells = cells.repartitionById(tasks, F.pmod("cell", F.lit(tasks)).cast("int")).sortWithinPartitions("cell", "is_bucket", "no")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for block, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            i = np.frombuffer(ids, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), block)), pa.array(np.arange(len(i), dtype=np.int32)), pa.array(i)], names=["block", "place", "query_id"])
-
-
-def _attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for r in b.to_pylist():
-            bound = np.array([-np.inf if x["bound"] is None else x["bound"] for x in r["b"]], dtype=np.float64)
-            _, q = _unpack(r["q_ids"], r["q_vectors"], r["dim"])
-            norm = np.sqrt((q * q).sum(axis=1))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                need = np.where((bound > 0) & (norm > 0), bound / norm, 0.0)
-            cols = [[r["block"]], [r["dim"]], [r["q_most"]], [r["q_ids"]], [r["q_vectors"]], [bound.tobytes()], [float(need.min(initial=np.inf)) * (1 - SLACK)]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.float64()), strict=True)], names=["block", "dim", "q_most", "q_ids", "q_vectors", "q_bounds", "least_norm"])
+    return _meet(cells, k).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

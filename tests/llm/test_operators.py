@@ -324,6 +324,48 @@ def test_op7_random(spark):
     assert got == brute_top(v)
 
 
+def test_op7_moves_sections_and_groups_once(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(8000, 16)).astype(np.float32)
+    moved, meet = [], op7_topk._meet
+
+    def counted(cells, *more):
+        moved.append(cells.agg(F.sum(sum(F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in cells.dtypes if kind == "binary"))).first()[0])
+        return meet(cells, *more)
+
+    monkeypatch.setattr(op7_topk, "_meet", counted)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>").repartition(5)
+    got = sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in table(op7_topk.top_k(df, F.col("vec_id") % 2 == 0)))
+    whole = np.floor(256 * x.astype(np.float64))
+    want = []
+    for q in range(0, 8000, 2):
+        s = (whole @ whole[q]).astype(np.int64)
+        best = [i for i in np.lexsort((np.arange(8000), -s))[:6].tolist() if i != q][:5]
+        want += [(q, n + 1, i, int(s[i])) for n, i in enumerate(best)]
+    assert got == want
+    assert sum(moved) < 4 * 8 * x.size  # not each pair of a block and a bucket
+
+
+@pytest.mark.parametrize("scale", [30, 1e5, 1e9])  # 32 bits, 64 bits, whole numbers beyond
+def test_op7_blocks_meet_buckets(scale):
+    r = np.random.default_rng(int(scale))
+    n = 400 if scale < 1e9 else 60
+    x = np.rint(r.normal(size=(n, 8)) * scale * np.exp(r.normal(size=(n, 1))))
+    x[: n // 4], x[n // 4 : n // 3] = x[0], np.rint(x[1] * (1 + r.normal(size=(n // 3 - n // 4, 8)) / 50))  # copies and near copies
+    x[n // 2 : n // 2 + 9] = 0
+    ids = r.permutation(n)
+    ids[-5:] = ids[:5]  # repeated ids are rows of their own
+    x = x[np.lexsort((ids, -(x * x).sum(axis=1)))]
+    block = op7_topk.Block(ids[::3].tobytes(), x[::3].tobytes(), 8, 5)
+    q, q_ids = x[::3], ids[::3]
+    order = np.lexsort((q_ids, -np.sqrt((q * q).sum(axis=1))))
+    for lo in range(0, n, n // 4):
+        block.meet(op7_topk.Bucket(ids[lo : lo + n // 4].tobytes(), x[lo : lo + n // 4].tobytes(), 8))
+    for place, j in enumerate(order.tolist()):
+        s = sorted((-max(min(sum(int(a) * int(b) for a, b in zip(q[j], v, strict=True)), 2**63 - 1), -(2**63)), int(i)) for i, v in zip(ids, x, strict=True) if i != q_ids[j])[:5]
+        assert [(-int(a), int(b)) for a, b in zip(block.score[place], block.row[place], strict=True)] == s and not block.free[place].any()
+
+
 def test_op8_shards(spark, corpus, edge):
     for folder, near in ((corpus, 1.06), (edge, None)):
         d = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
