@@ -1,7 +1,7 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
 Vectors are range-partitioned by length into sections and packed into buckets of similar length. A first pass over each
-dimension's longest bucket gives every query a lower bound of its k-th row. Queries are packed into blocks, and those into
+dimension's longest buckets gives every query a lower bound of its k-th row. Queries are packed into blocks, and those into
 groups that a task can hold; a group meets only the sections whose longest vector can still reach a query's bound, and
 keeps its best rows while their buckets stream by, longest first, so that bounds rise. Within a bucket the bound and the
 bucket's longest vector give a local cosine threshold, and each query prunes by it: a threshold above one ends the bucket,
@@ -39,12 +39,14 @@ CELLS = 64
 PARTITIONS = 2_000
 K = 5
 SALTS = 16
+SEEDS = 16  # buckets of each dimension that the first pass meets
 COSINE = 0.6
 SLACK = 1e-9
 _FLOOR, _LAST = -(1 << 63), (1 << 63) - 1
 _ROWS = "id long, x binary, q boolean, dim int, norm double"
 _PACKED = "part int, bucket long, dim int, most double, ids binary, vectors binary"
 _BOUNDED = "part int, block long, dim int, most double, ids binary, vectors binary, lows binary, least_norm double"
+_CELLS = "cell long, is_bucket boolean, part int, no long, dim int, ids binary, vectors binary, lows binary"
 _EXACT_32, _EXACT = float(1 << 24), float(1 << 53)
 
 
@@ -227,69 +229,82 @@ class Block(Vectors):
             return
         s, who, low, ids = s[hit] if len(hit) < len(s) else s, who[hit], low[hit], bucket.ids[:longest]
         above = s >= low[:, None]
-        if above.sum() > 16 * len(hit):
+        if np.count_nonzero(above) > 16 * len(hit):
             # of a query without a bound yet, or of equal scores, only the best leave the bucket
-            s, above = s.astype(np.int64), s.astype(np.int64)
-            above[ids[None, :] == self.ids[who][:, None]] = _FLOOR
-            for r in range(len(hit)):
-                top = _top(ids, above[r], self.k)
-                top = top[ids[top] != self.ids[who[r]]]
-                self.add(np.full(len(top), who[r]), ids[top], s[r, top])
-            return
-        r, c = np.nonzero(above)
+            s = s.astype(np.int64)
+            c = _tops(ids, s, self.ids[who], self.k)
+            r = np.repeat(np.arange(len(c)), c.shape[1])
+            c = c.ravel()
+        else:
+            r, c = _places(above)
         self.add(who[r], ids[c], s[r, c].astype(np.int64))
 
 
-def _top(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    if len(ids) > 4 * k:
-        kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = np.flatnonzero(scores >= kth)
-    else:
-        keep = np.arange(len(ids))
-    return keep[np.lexsort((ids[keep], ~scores[keep]))[:k]]
-
-
-def _bounded(pairs: DataFrame, k: int) -> DataFrame:
-    """For rows of (query block, first bucket of its dimension): the block with its queries' k-th rows there as bounds."""
+def _places(above: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the few true values: eight are looked at at once."""
+    if above.shape[1] % 8:
+        return np.nonzero(above)
+    words = np.flatnonzero(above.view(np.uint64))
+    w, c = np.nonzero(above.reshape(-1, 8)[words])
+    at = words[w] * 8 + c
+    return at // above.shape[1], at % above.shape[1]
+
+
+def _tops(ids: np.ndarray, scores: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """Columns of each row's k best scores, ties by id; a row's own id comes last."""
+    n = len(ids)
+    by_id = np.argsort(ids, kind="stable")
+    if n <= k:
+        return np.tile(np.arange(n), (len(scores), 1))
+    if np.abs(scores.astype(np.float64)).max(initial=0) < float(1 << 62) / n:
+        place = np.empty(n, dtype=np.int64)
+        place[by_id] = np.arange(n)
+        key = scores * n - place
+        key[ids[None, :] == own[:, None]] = _FLOOR
+        return np.argpartition(key, n - k, axis=1)[:, n - k :]
+    return np.array([np.lexsort((ids, ~s, ids == i))[:k] for s, i in zip(scores, own, strict=True)])
+
+
+def _met(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[Block]]:
+    """The blocks of each cell, after they met its buckets. A cell's rows are its query blocks followed by its buckets."""
+    cell, blocks = None, {}
+    for b in batches:
+        for i in range(b.num_rows):
+            here, is_bucket, part, no, dim, ids, vectors, lows = (b.column(c)[i].as_py() for c in _names(_CELLS))
+            if here != cell:
+                yield [x for same in blocks.values() for x in same]
+                cell, blocks = here, {}
+            if is_bucket:
+                bucket = Bucket(ids, vectors, dim)
+                for block in blocks.get(dim, []):
+                    block.meet(bucket)
+            else:
+                blocks.setdefault(dim, []).append(Block(ids, vectors, dim, k, lows))
+                blocks[dim][-1].name = part, no
+    yield [x for same in blocks.values() for x in same]
+
+
+def _bounded(cells: DataFrame, k: int) -> DataFrame:
+    """Query blocks with their queries' k-th rows in the buckets of their cells as bounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                block = Block(r["ids"], r["vectors"], r["dim"], k)
-                block.meet(Bucket(r["seed_ids"], r["seed_vectors"], r["dim"]))
-                x = block.x.astype(np.int16) if np.abs(block.x).max(initial=0) < 1 << 15 else block.x.astype(np.float64)
-                cols = [[r["part"]], [r["block"]], [r["dim"]], [block.most], [block.ids.tobytes()], [x.tobytes()], [np.stack([block.low, block.low_id]).tobytes()], [block.least_norm()]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.float64()), strict=True)], names=_names(_BOUNDED))
+        for x in (x for blocks in _met(batches, k) for x in blocks):
+            v = x.x.astype(np.int16) if np.abs(x.x).max(initial=0) < 1 << 15 else x.x.astype(np.float64)
+            cols = [[x.name[0]], [x.name[1]], [x.dim], [x.most], [x.ids.tobytes()], [v.tobytes()], [np.stack([x.low, x.low_id]).tobytes()], [x.least_norm()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.float64()), strict=True)], names=_names(_BOUNDED))
 
-    return pairs.mapInArrow(run, _BOUNDED)
+    return cells.mapInArrow(run, _BOUNDED)
 
 
 def _meet(cells: DataFrame, k: int) -> DataFrame:
-    """Of cells, each a group's query blocks followed by a section's buckets: the best k rows of each query there."""
+    """The best k rows of each query in the buckets of each of its cells."""
     schema = "query_id long, vec_id long, score long"
 
-    def best(blocks: dict[int, list[Block]]) -> Iterator[pa.RecordBatch]:
-        for x in (x for same in blocks.values() for x in same):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in (x for blocks in _met(batches, k) for x in blocks):
             who, at = np.nonzero(~x.free)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x.ids[who], x.row[who, at], x.score[who, at])], names=_names(schema))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, blocks = None, {}
-        for b in batches:
-            for i in range(b.num_rows):
-                here, is_bucket, dim = (b.column(c)[i].as_py() for c in ("cell", "is_bucket", "dim"))
-                ids, vectors, lows = (b.column(c)[i].as_py() for c in ("ids", "vectors", "lows"))
-                if here != cell:
-                    yield from best(blocks)
-                    cell, blocks = here, {}
-                if is_bucket:
-                    bucket = Bucket(ids, vectors, dim)
-                    for block in blocks.get(dim, []):
-                        block.meet(bucket)
-                else:
-                    blocks.setdefault(dim, []).append(Block(ids, vectors, dim, k, lows))
-        yield from best(blocks)
-
     return cells.mapInArrow(run, schema)
 
 
@@ -309,12 +324,16 @@ def top_k(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vect
     buckets = scratch.write(_packed(rows, sections, BUCKET), "buckets")
     queries = scratch.write(_packed(rows.filter("q"), max(groups, min(CELLS, -(-query_bytes // (1 << 20)))), QUERY_BLOCK), "queries").withColumnRenamed("bucket", "block")
     scratch.drop("rows")
-    # the first pass: each dimension's longest bucket
-    first = buckets.groupBy("dim").agg(F.max_by("bucket", F.struct("most", -F.col("bucket"))).alias("bucket"))
-    seeds = buckets.join(first, ["dim", "bucket"], "left_semi").select("dim", F.col("ids").alias("seed_ids"), F.col("vectors").alias("seed_vectors"))
-    seeds = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # few dimensions are no few tasks
-    salted = queries.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int"))
-    bounded = scratch.write(_bounded(salted.join(seeds, ["dim", "salt"]), k), "bounded")
+    # the first pass: each dimension's longest buckets
+    longest = F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("most"), "bucket"))
+    first = buckets.select("dim", "bucket", "most").withColumn("at", longest).filter(F.col("at") <= min(SEEDS, -(-n_buckets // SEEDS)))
+    seeds = buckets.join(first.select("bucket"), "bucket", "left_semi")
+    salts = SALTS * groups  # few dimensions are no few tasks
+    none, salted = F.lit(None).cast("binary"), lambda salt: (F.col("dim").cast("long") * salts + salt).alias("cell")
+    cells = queries.select(salted(F.pmod(F.xxhash64("block"), F.lit(salts))), F.lit(False).alias("is_bucket"), "part", F.col("block").alias("no"), "dim", "ids", "vectors", none.alias("lows"))
+    cells = cells.union(seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(salted(F.col("salt")), F.lit(True), "part", "bucket", "dim", "ids", "vectors", none))
+    cells = cells.repartitionById(salts, F.pmod("cell", F.lit(salts)).cast("int")).sortWithinPartitions("cell", "is_bucket", "no")
+    bounded = scratch.write(_bounded(cells, k), "bounded")
     parts = bounded.agg(F.max("part")).first()[0] or 0
     blocks = bounded.withColumn("group", F.floor(F.col("part") * groups / (parts + 1)).cast("int"))
     # a group meets the sections whose longest vector reaches the least bound of its queries, and of these the buckets that do
@@ -324,8 +343,8 @@ def top_k(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vect
     cell = (F.col("group").cast("long") * sections + F.col("section")).alias("cell")
     asking = blocks.join(F.broadcast(reach), "dim").filter(near("section_most", "least_norm"))
     asked = buckets.withColumnRenamed("part", "section").join(F.broadcast(asks), "dim").filter(near("most", "least"))
-    cells = asking.select(cell, F.lit(False).alias("is_bucket"), F.col("block").alias("no"), "dim", "ids", "vectors", "lows").union(
-        asked.select(cell, F.lit(True), "bucket", "dim", "ids", "vectors", F.lit(None).cast("binary"))
+    cells = asking.select(cell, F.lit(False).alias("is_bucket"), "part", F.col("block").alias("no"), "dim", "ids", "vectors", "lows").union(
+        asked.select(cell, F.lit(True), "section", "bucket", "dim", "ids", "vectors", none)
     )
     tasks = min(PARTITIONS, groups * sections)
     cells = cells.repartitionById(tasks, F.pmod("cell", F.lit(tasks)).cast("int")).sortWithinPartitions("cell", "is_bucket", "no")
